@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from facetmatch.llm import decontaminate, language_id, minhash, packing, secrets
+from facetmatch.llm import decontaminate, language_id, link_graph, lm_scoring, minhash, packing, pii, secrets, sharding, topk
 from facetmatch.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.host_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -24,18 +36,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleaved(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op2_packing, op5_language_id, op6_decontamination, op8_secret_scan, op10_minhash]
+    ops = [op1_lm_scoring, op2_packing, op3_link_graph, op4_pii, op5_language_id, op6_decontamination, op7_sharding, op8_secret_scan, op9_top_k, op10_minhash]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    sql = {"op3_link_graph": link_graph.sql(), "op7_sharding": sharding.SQL, "op9_top_k": topk.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in sql.items() if v}
