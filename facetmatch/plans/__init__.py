@@ -1,0 +1,3 @@
+"""Importing this registers every query."""
+
+from facetmatch.plans import catalog, texts  # noqa: F401
