@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from facetmatch.functions.text import match_normalize
+from facetmatch.functions.text import let, match_normalize
 
 #: Logistic weights of the eight features, in order: bias, title trigrams, tokens, equal, maker, numbers, prefix, best trigrams.
 WEIGHTS = (-5.221066853479779, 2.627068932352563, 0.5358987618092962, 2.0065531794467506, -0.9401479348182489, 1.615277122540201, 0.06833240278679657, 2.785336213276419)
@@ -14,8 +15,8 @@ WEIGHTS = (-5.221066853479779, 2.627068932352563, 0.5358987618092962, 2.00655317
 
 def grams_of_normal(norm: Column) -> Column:
     """Distinct trigrams of an already normal string, without spaces, padded by two before and one after."""
-    s = F.concat(F.lit("  "), F.replace(norm, F.lit(" "), F.lit("")), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3))))
+    padded = F.concat(F.lit("  "), F.replace(norm, F.lit(" "), F.lit("")), F.lit(" "))
+    return let(padded, lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))))
 
 
 def trigrams(c: Column) -> Column:
@@ -56,7 +57,7 @@ def osa(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y, k) for x, y, k in zip(a, b, most)])
 

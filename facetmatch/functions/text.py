@@ -77,12 +77,20 @@ def _apply(c: Column, rules: list) -> Column:
     return F.trim(c)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: inside a lambda, Spark would else work it out anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def match_normalize(c: Column) -> Column:
     """MN1 to MN11; '' for null."""
-    t = F.split(_apply(fold(F.coalesce(c, F.lit(""))), MATCH_RULES), " ")
     table = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
-    one = lambda x, i: F.when(x.isin(*ROMAN) & ((F.length(x) > 1) | (i == F.size(t) - 1)), table[x]).otherwise(x)
-    return F.array_join(F.transform(t, one), " ")
+
+    def numerals(t: Column) -> Column:
+        last = F.size(t) - 1
+        return F.array_join(F.transform(t, lambda x, i: F.when(x.isin(*ROMAN) & ((F.length(x) > 1) | (i == last)), table[x]).otherwise(x)), " ")
+
+    return let(F.split(_apply(fold(F.coalesce(c, F.lit(""))), MATCH_RULES), " "), numerals)
 
 
 def match_normalize_text(s: str | None) -> str:

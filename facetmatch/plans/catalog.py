@@ -12,6 +12,7 @@ from facetmatch.functions import sql as S
 from facetmatch.functions.similarity import grams_of_normal, trigrams
 from facetmatch.functions.text import digits_of, match_normalize, type_normalize, words_of
 from facetmatch.registry import query
+from facetmatch.session import checkpoint
 from facetmatch.sources import testdata
 from facetmatch.sources.testdata import Asset
 
@@ -49,6 +50,12 @@ def vocabulary(entries: DataFrame) -> DataFrame:
     return seen.groupBy("token").agg(F.count("*").alias("freq"), F.min(F.struct("ord", "pos")).alias("first"))
 
 
+def stored(catalog: Catalog) -> Catalog:
+    """The catalogue, worked out once; at scale, write entries as Parquet and read them instead."""
+    entries = checkpoint(catalog.entries)
+    return Catalog(entries, checkpoint(postings(entries)), checkpoint(vocabulary(entries)))
+
+
 CTE = "WITH " + testdata.SQL + f""",
 alias_n AS (SELECT *, {S.norm('alias')} AS norm FROM aliases),
 entry AS (SELECT *, {S.norm('name')} AS norm FROM records),
