@@ -15,7 +15,6 @@ TRAITS = "point-and-shoot folding motorized subminiature stereo detective toy mo
 DEAD_FILM = {"disc": 1999, "aps": 2011, "828": 1985, "620": 1995, "127": 1995, "126": 1999, "117": None, "116": 1984, "110": None}
 MERCURY = r"(?i)(?<![A-Za-z0-9_])(?:PX ?(?:825|675|640|625|400|27|23|21|14|13|1)|MR ?(?:44|9)|V625|HG|mercury)(?![A-Za-z0-9_])"
 MARKET_WORDING = {"jp": "the Japanese name", "eu": "the European name", "intl": "the international name", "us": "the US name"}
-VIA_WORDING = {"superseded": "an earlier name for this record", "shorthand": "a shorthand", "punctuation": "another spelling", "correction": "a corrected name", "maker": "the maker's name", "name": "the name"}
 BODY_TYPES = ("viewfinder", "compact", "slr", "view", "rangefinder", "box", "tlr", "other", "mirrorless", "bridge", "pinhole", "pseudo-tlr")
 
 
@@ -100,11 +99,17 @@ def hazards(film: Column, batteries: Column) -> Column:
     return F.filter(F.array(dead, mercury), lambda h: h.isNotNull())
 
 
-def explain(alias: Column, via: Column, market: Column) -> Column:
-    """NM4; null without an alias."""
-    by_market = reduce(lambda c, kv: c.when(market == kv[0], kv[1]), MARKET_WORDING.items(), F.when(F.lit(False), "")).otherwise("another market's name")
-    wording = reduce(lambda c, kv: c.when(via == kv[0], kv[1]), VIA_WORDING.items(), F.when(via == "market", by_market))
-    return F.when(alias.isNotNull(), F.concat(F.lit("matched “"), alias, F.lit("”"), F.coalesce(F.concat(F.lit(" — "), wording), F.lit(""))))
+def explain(shown: Column, alias: Column, via: Column, market: Column) -> Column:
+    """NM4: why a query landed on a record; just what is shown if no other alias matched."""
+    by_market = reduce(lambda c, kv: c.when(market == kv[0], kv[1]), MARKET_WORDING.items(), F.when(F.lit(False), "")).otherwise("another market’s name")
+    quoted = F.concat(F.lit("“"), alias, F.lit("”"))
+    said = (
+        F.when(via == "market", F.concat(F.lit("matched "), quoted, F.lit(" — "), by_market))
+        .when(via == "superseded", F.concat(F.lit("matched "), quoted, F.lit(" — an earlier name for this record")))
+        .when(via == "shorthand", F.concat(F.lit("matched the shorthand "), quoted))
+        .otherwise(F.concat(F.lit("matched "), quoted))
+    )
+    return F.when(alias.isNull() | (alias == shown), shown).otherwise(said)
 
 
 def record_href(kind: Column, rec_id: Column) -> Column:
