@@ -98,6 +98,17 @@ def counts(rows: DataFrame, keys, p: Params) -> DataFrame:
     return rows.select("text", "target").mapInArrow(run, "k long, t long, b long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
+def packed(table: DataFrame) -> DataFrame:
+    """Counts as a few rows of bytes (12 a key), for the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [pa.array([batch.column(i).to_numpy().astype(kind).tobytes()], pa.binary()) for i, kind in enumerate((np.int32, np.float32, np.float32))]
+            yield pa.RecordBatch.from_arrays(parts, ["k", "t", "b"])
+
+    return table.mapInArrow(run, "k binary, t binary, b binary")
+
+
 @dataclass
 class Models:
     vocabulary: np.ndarray
@@ -127,8 +138,8 @@ def fit(rows: DataFrame, p: Params = Params()) -> Models:
         return h.view(np.int64), first
 
     seen = counts(rows, word_keys, p).withColumn("n", F.col("t") + F.col("b"))
-    top = seen.orderBy(F.desc("n"), "k").limit(p.vocabulary).select("k").toPandas()["k"].to_numpy(np.int64)
-    vocabulary = np.sort(top.view(np.uint64))
+    top = seen.orderBy(F.desc("n"), "k").limit(p.vocabulary).select("k").toArrow()["k"].to_numpy()
+    vocabulary = np.sort(top.astype(np.int64).view(np.uint64))
     v = len(vocabulary)
 
     def pair_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +148,14 @@ def fit(rows: DataFrame, p: Params = Params()) -> Models:
         # words as negative keys beside the buckets, so that one pass counts both
         return np.stack([bucket, -1 - ids], 1).ravel(), first * 2
 
-    table = counts(rows, pair_keys, p).toPandas()
-    k, tb = table["k"].to_numpy(np.int64), table[["t", "b"]].to_numpy(np.float32)
     word, pair = np.zeros((2, v + 2)), np.zeros((2, 1 << p.bucket_bits), np.float32)
-    of_word = k < 0
-    for m in range(2):
-        word[m][-1 - k[of_word]] = tb[of_word, m]
-        pair[m][k[~of_word]] = tb[~of_word, m]
+    for row in packed(counts(rows, pair_keys, p)).collect():
+        k = np.frombuffer(row["k"], np.int32)
+        of_word = k < 0
+        for m, name in enumerate("tb"):
+            c = np.frombuffer(row[name], np.float32)
+            word[m][-1 - k[of_word]] = c[of_word]
+            pair[m][k[~of_word]] = c[~of_word]
     return Models(vocabulary, word, pair)
 
 
