@@ -39,8 +39,10 @@ class Params:
     max_edits: float = 0.05
     min_item: int = 40
     samples: int = 5
-    recall: float = 0.98
+    recall: float = 0.99
     most_rounds: int = 64
+    #: Edited copies of an item that the rounds are found by.
+    trials: int = 6
     seed: int = 5
     #: Items a pass: a larger benchmark takes several passes over the documents.
     items_per_pass: int = 20_000
@@ -139,7 +141,7 @@ class Index:
         """From random edits to the limit, made to the items: how often codes stay equal in one round, and from it the rounds for the recall wanted."""
         self._draw(self.p.most_rounds)
         rng, p = np.random.default_rng(self.p.seed), self.p
-        take = rng.permutation(len(self.texts))[:48].tolist()
+        take = np.repeat(rng.permutation(len(self.texts))[:48], p.trials).tolist()
         edited = []
         for k in take:
             t = bytearray(self.texts[k])
@@ -190,7 +192,7 @@ class Index:
         for (row, k), starts in windows.items():
             n, d = len(self.texts[k]), self.limits[k]
             begin, end = int(first[row]), int(first[row + 1]) - 1
-            tried += sorted({(row, k, max(begin, s + o)) for s in starts for o in range(-d, d + 1, max(1, d // 2)) if s + o + n > begin and s + o < end})
+            tried += sorted({(row, k, max(begin, s + o)) for s in starts for o in range(-d, d + 1, max(1, d // 4)) if s + o + n > begin and s + o < end})
         if not tried:
             return []
         ends = first[1:] - 1
