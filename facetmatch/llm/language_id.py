@@ -243,10 +243,13 @@ def judge(model: Model, column: pa.Array, rows_at_once: int = 2048) -> tuple[np.
 
 
 def sample(docs: DataFrame, p: Params = Params()) -> tuple[list[str], list[str]]:
-    """The labelled rows to train on: those with the smallest hashes of their ids, as a top-k that needs no shuffle of texts."""
-    rows = pick(docs, "doc_id", "text", "lang").where("lang is not null and length(text) > 0")
-    key = F.xxhash64(F.lit(p.seed), "doc_id")
-    top = rows.select(key.alias("k"), F.col("lang"), F.substring("text", 1, p.train_bytes).alias("text")).orderBy("k", "lang", "text").limit(p.train_rows).collect()
+    """The labelled rows to train on: those with the smallest hashes of their ids. The greatest of these hashes is found first, so that no text but the sample's leaves its task."""
+    key = F.xxhash64(F.lit(p.seed), "doc_id").alias("k")
+    hashes = pick(docs, "doc_id", "lang").where("lang is not null").select(key).orderBy("k").limit(p.train_rows).collect()
+    if not hashes:
+        return [], []
+    rows = pick(docs, "doc_id", "text", "lang").select(key, "lang", F.substring("text", 1, p.train_bytes).alias("text")).where(F.col("lang").isNotNull() & (F.col("k") <= hashes[-1]["k"]))
+    top = rows.where("length(text) > 0").orderBy("k", "lang", "text").limit(p.train_rows).collect()
     return [r["text"] for r in top], [r["lang"] for r in top]
 
 
