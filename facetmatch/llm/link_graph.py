@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetmatch.llm.common import checkpoint, pick
+from facetmatch.llm.common import checkpoint, pick, sized
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,17 @@ def propagate(hosts: DataFrame, edges: DataFrame, p: Params = Params()) -> DataF
 
 
 def host_verdicts(pages: DataFrame, p: Params = Params()) -> DataFrame:
-    return propagate(*host_graph(pages, p), p)
+    """A row a host."""
+    return checkpoint(propagate(*host_graph(pages, p), p))
+
+
+def page_verdicts(pages: DataFrame, p: Params = Params()) -> DataFrame:
+    """A row a page: page_id, host, trust, distrust, blocked, by its host's verdict; a page without host has a null one, no scores, and isn't blocked."""
+    verdicts = host_verdicts(pages, p).select(F.col("host").alias("h"), "trust", "distrust", "blocked")
+    rows = pick(pages, "page_id", "url").select("page_id", F.nullif(F.lower(F.regexp_extract("url", HOST, 2)), F.lit("")).alias("host"))
+    joined = rows.join(sized(verdicts), F.col("host") == F.col("h"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return joined.select("page_id", "host", zero("trust"), zero("distrust"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
 def sql(p: Params = Params()) -> str:
@@ -99,5 +109,6 @@ steps AS MATERIALIZED (SELECT true AS along, src AS a, dst AS b, weight / sum(we
 seed AS MATERIALIZED (SELECT host, true AS along, t::INT / greatest(1.0::DOUBLE, sum(t::INT) OVER ()) AS seed FROM hosts UNION ALL SELECT host, false, x::INT / greatest(1.0::DOUBLE, sum(x::INT) OVER ()) FROM hosts),
 s0 AS (SELECT host, along, seed AS score FROM seed WHERE seed > 0){steps},
 fin AS (SELECT h.host, pages, round(coalesce(a.score, 0), 6) AS trust, round(coalesce(b.score, 0), 6) AS distrust, x FROM hosts h LEFT JOIN s{p.iterations} a ON a.host = h.host AND a.along LEFT JOIN s{p.iterations} b ON b.host = h.host AND NOT b.along)
-SELECT host, pages, trust, distrust, (x OR (distrust >= {p.threshold} AND distrust > trust)) AS blocked FROM fin
+SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 2)), '') AS host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust, coalesce(x OR (distrust >= {p.threshold} AND distrust > trust), false) AS blocked
+FROM pages LEFT JOIN fin ON fin.host = lower(regexp_extract(url, '{HOST}', 2))
 """

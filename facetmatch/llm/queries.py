@@ -20,7 +20,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_graph.host_verdicts(table(spark, sf_dir, "pages"))
+    return link_graph.page_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
