@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmatch.session import checkpoint  # noqa: F401
+
 #: Most rows of ids that are ever broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 1 << 20
@@ -26,20 +27,6 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return plain.select(*[plain[f"_{names.index(c)}"].alias(c) for c in cols])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a copy in the shared folder of spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit
