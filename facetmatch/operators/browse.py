@@ -107,7 +107,7 @@ def same_maker(records: DataFrame, most: int = 4) -> DataFrame:
     b = records.select("kind", "manufacturer", F.struct(F.col("ord").alias("o"), F.col("id").alias("i"), F.col("body_type").alias("t"), F.col("traits").alias("x"), F.col("year").alias("y")).alias("b"))
     pairs = a.join(b, ["kind", "manufacturer"]).where(F.col("id") != F.col("b.i"))
     near = F.when(F.coalesce("year", F.lit(0)) == 0, 0).otherwise(year_distance(F.col("b.y"), F.col("year")))
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("b.t") != F.col("body_type"), F.desc(F.size(F.array_intersect("traits", "b.x"))), near, "b.o"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy(~F.col("b.t").eqNullSafe(F.col("body_type")), F.desc(F.coalesce(F.size(F.array_intersect("traits", "b.x")), F.lit(0))), near, "b.o"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "rank", F.col("b.i").alias("related"))
 
 

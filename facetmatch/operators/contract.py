@@ -16,7 +16,7 @@ TAKES_VIA = ("adapter", "back", "insert", "mask", "respool")
 
 def record_rules(columns: set[str], body_types: tuple[str, ...], traits: tuple[str, ...]) -> dict[str, str]:
     """code -> SQL that holds for a violation; only rules whose columns are there."""
-    some = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    some = lambda xs: ", ".join(f"'{x}'" for x in xs) or "''"
     rules = {
         "body_type.enum": ("body_type", f"body_type IS NOT NULL AND kind = 'camera' AND body_type NOT IN ({some(body_types)})"),
         "traits.enum": ("traits", f"exists(traits, t -> t NOT IN ({some(traits)}))"),

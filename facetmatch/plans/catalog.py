@@ -2,59 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from facetmatch.functions import sql as S
-from facetmatch.functions.similarity import grams_of_normal, trigrams
-from facetmatch.functions.text import digits_of, match_normalize, type_normalize, words_of
+from facetmatch.operators.catalog import Catalog, build, index_rows_of, order_tier
 from facetmatch.registry import query
-from facetmatch.session import checkpoint
 from facetmatch.sources import testdata
-from facetmatch.sources.testdata import Asset
-
-
-@dataclass(frozen=True)
-class Catalog:
-    entries: DataFrame
-    postings: DataFrame
-    vocab: DataFrame
-
-
-def build(asset: Asset) -> Catalog:
-    """CAT1 to CAT6. entries: ord, id, kind, title, norm, tokens, grams, digits, aliases (of alias, norm, grams, via, market)."""
-    rows = asset.records.where("id is not null and name is not null")
-    spoken = asset.aliases.where("id is not null and alias is not null").withColumn("n", match_normalize(F.col("alias")))
-    grouped = spoken.groupBy(F.col("id").alias("alias_of")).agg(F.array_sort(F.collect_list(F.struct("slot", "alias", F.col("n").alias("norm"), trigrams(F.col("n")).alias("grams"), "via", "market"))).alias("a"))
-    joined = rows.join(grouped, F.col("id") == F.col("alias_of"), "left").withColumn("norm", match_normalize(F.col("name")))
-    none = F.array().cast("array<struct<slot:int,alias:string,norm:string,grams:array<string>,via:string,market:string>>")
-    entries = joined.select(
-        "ord", "id", "kind", F.col("name").alias("title"), "norm", words_of(F.col("norm")).alias("tokens"), trigrams(F.col("norm")).alias("grams"), digits_of(F.col("norm")).alias("digits"),
-        F.coalesce(F.filter("a", lambda x: x["alias"] != F.col("name")), none).alias("aliases"),
-    )
-    return Catalog(entries, postings(entries), vocabulary(entries))
-
-
-def postings(entries: DataFrame) -> DataFrame:
-    """CAT5: token, ord, kind, size of the norm."""
-    every = F.array_distinct(F.concat(F.col("tokens"), F.flatten(F.transform("aliases", lambda a: words_of(a["norm"])))))
-    return entries.select("ord", "kind", F.length("norm").alias("size"), F.explode(every).alias("token"))
-
-
-def vocabulary(entries: DataFrame) -> DataFrame:
-    """CAT6: token, freq, first (where it is first seen, as a tie-break)."""
-    seen = entries.select("ord", F.posexplode("tokens").alias("pos", "token")).where("length(token) >= 3 and not token rlike '[0-9]'")
-    return seen.groupBy("token").agg(F.count("*").alias("freq"), F.min(F.struct("ord", "pos")).alias("first"))
-
-
-def stored(catalog: Catalog) -> Catalog:
-    """The catalogue, worked out once; at scale, write entries as Parquet and read them instead."""
-    entries = checkpoint(catalog.entries)
-    return Catalog(entries, checkpoint(postings(entries)), checkpoint(vocabulary(entries)))
-
 
 CTE = "WITH " + testdata.SQL + f""",
 alias_n AS (SELECT *, {S.norm('alias')} AS norm FROM aliases),
@@ -103,15 +57,6 @@ def alias_orphans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.aliases.join(a.records.select("id"), "id", "left_anti").select("ord", "slot", "alias", "id")
 
 
-def index_rows_of(asset: Asset) -> DataFrame:
-    """PL2: n, kind, id, shown: record names, then aliases; the first of each (n, id); shown is empty if equal to the recommended name."""
-    named = asset.records.select("ord", F.lit(-1).alias("slot"), "kind", "id", F.col("name").alias("form"), "recommended_name")
-    spoken = asset.aliases.join(asset.records.select("id", "recommended_name"), "id").select("ord", "slot", "kind", "id", F.col("alias").alias("form"), "recommended_name")
-    rows = named.union(spoken).withColumn("n", type_normalize(F.col("form"))).where("n <> ''")
-    first = rows.groupBy("n", "id").agg(F.min_by(F.struct("kind", "form", "recommended_name"), F.struct(F.col("slot") >= 0, "ord", "slot")).alias("r"))
-    return first.select("n", "r.kind", "id", F.when(F.col("r.form") == F.col("r.recommended_name"), "").otherwise(F.col("r.form")).alias("shown"))
-
-
 # every form here is letters, digits, spaces, # and -, so that the typeahead form comes down to a few rules
 TYPE = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9.]+', ' ', 'g'), '(\d)([a-z])', '\1 \2', 'g'), '([a-z])(\d)', '\1 \2', 'g'))"
 INDEX = f""", forms AS (SELECT ord, -1 AS slot, kind, id, name AS form, recommended_name FROM records UNION ALL SELECT a.ord, a.slot, a.kind, a.id, a.alias, r.recommended_name FROM aliases a JOIN records r USING (id)),
@@ -139,15 +84,6 @@ def catalog_order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testdata.records(spark, sf_dir).select("id", order_tier().alias("tier"), F.regexp_replace("name", r"^[^\p{L}]+", "").alias("sort_name"))
 
 
-def order_tier():
-    return F.when(F.coalesce("manufacturer", F.lit("")) == "", 2).when(F.col("confidence") == "high", 0).otherwise(1)
-
-
-def ordered(records: DataFrame) -> DataFrame:
-    """PL5: a distributed sort with locale-aware comparison."""
-    return records.orderBy(order_tier(), F.collate(F.regexp_replace("name", r"^[^\p{L}]+", ""), "UNICODE"), F.collate("name", "UNICODE"), "id")
-
-
 @query("WITH " + testdata.SQL + " SELECT manufacturer, count(*) AS records FROM records GROUP BY manufacturer")
 def manufacturer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testdata.records(spark, sf_dir).groupBy("manufacturer").agg(F.count("*").alias("records"))

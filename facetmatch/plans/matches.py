@@ -11,7 +11,8 @@ from facetmatch.functions.similarity import WEIGHTS, osa_distance, trigrams
 from facetmatch.functions.text import digits_of, match_normalize, words_of
 from facetmatch.operators import matching
 from facetmatch.operators.matching import Policy
-from facetmatch.plans.catalog import CTE, Catalog, entries_of, stored
+from facetmatch.operators.catalog import Catalog, stored
+from facetmatch.plans.catalog import CTE, entries_of
 from facetmatch.registry import query
 from facetmatch.sources import testdata
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from facetmatch.functions.text import type_normalize
 from facetmatch.operators import search
 from facetmatch.operators.search import Limits
-from facetmatch.plans.catalog import INDEX, TYPE, index_rows_of
+from facetmatch.operators.catalog import index_rows_of
+from facetmatch.plans.catalog import INDEX, TYPE
 from facetmatch.plans.matches import QUERY_SQL
 from facetmatch.registry import query
 from facetmatch.session import checkpoint

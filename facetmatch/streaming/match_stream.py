@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from facetmatch.operators.catalog import Catalog
 from facetmatch.operators.matching import Policy, match_batch
-from facetmatch.plans.catalog import Catalog
 
 
 def match_stream(queries: DataFrame, catalog: Catalog, out: str, checkpoint: str, policy: Policy = Policy()) -> StreamingQuery:
@@ -22,5 +22,5 @@ def match_stream(queries: DataFrame, catalog: Catalog, out: str, checkpoint: str
 def windowed_events(spark: SparkSession, path: str) -> DataFrame:
     """Counts by event type in windows of an hour, late rows of up to ten minutes admitted."""
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path)
+    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
