@@ -60,8 +60,8 @@ def facet_counts(records: DataFrame, f: Filters) -> DataFrame:
         ok = f.where(name) & (F.lit(True) if kind is None else F.col("kind") == kind)
         named = f"transform({values}, v -> named_struct('facet', '{name}', 'value', v))"
         per.append(F.when(ok, F.expr(named)).otherwise(F.array().cast("array<struct<facet:string,value:string>>")))
-    rows = records.select("ord", F.explode(F.concat(*per)).alias("x")).select("ord", "x.facet", "x.value").where("value <> ''")
-    return rows.groupBy("facet", "value").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    rows = records.select("ord", F.posexplode(F.concat(*per)).alias("pos", "x")).select("ord", "pos", "x.facet", "x.value").where("value <> ''")
+    return rows.groupBy("facet", "value").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
 
 
 def trait_counts(records: DataFrame, f: Filters) -> DataFrame:

@@ -23,8 +23,8 @@ def left(*out: str) -> str:
 
 
 COUNTS = f""", c AS (
-SELECT 'manufacturer' AS facet, manufacturer AS value, ord FROM records WHERE {left()} UNION ALL SELECT 'body', body_type, ord FROM records WHERE {left('body')} AND kind = 'camera'
-UNION ALL SELECT 'ltype', body_type, ord FROM records WHERE {left()} AND kind = 'lens' UNION ALL SELECT 'mount', unnest(mounts), ord FROM records WHERE {left()}),
+SELECT 'manufacturer' AS facet, manufacturer AS value, ord * 1000 AS ord FROM records WHERE {left()} UNION ALL SELECT 'body', body_type, ord * 1000 FROM records WHERE {left('body')} AND kind = 'camera'
+UNION ALL SELECT 'ltype', body_type, ord * 1000 FROM records WHERE {left()} AND kind = 'lens' UNION ALL SELECT 'mount', unnest(mounts), ord * 1000 + unnest(range(len(mounts))) FROM records WHERE {left()}),
 n AS (SELECT facet, value, count(*) AS n, min(ord) AS first FROM c WHERE value <> '' GROUP BY ALL)"""
 
 
@@ -140,7 +140,7 @@ def overlay_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.apply_sets(r, c, ["body_type", "manufacturer", "year"]).select("id", "body_type", "manufacturer", "year")
 
 
-@query(T + ", m AS (SELECT ord, id, lead(id) OVER (ORDER BY ord) AS nxt FROM records), g AS (SELECT id, nxt FROM m WHERE ord % 50 = 1 AND nxt IS NOT NULL) SELECT r.id, coalesce(CASE WHEN r.year = 0 THEN NULL ELSE r.year END, (SELECT max(nullif(x.year, 0)) FROM g JOIN records x ON x.id = g.id WHERE g.nxt = r.id)) AS year FROM records r WHERE r.id NOT IN (SELECT id FROM g)")
+@query(T + ", m AS (SELECT ord, id, lead(id) OVER (ORDER BY ord) AS nxt FROM records), g AS (SELECT id, nxt FROM m WHERE ord % 50 = 1 AND nxt IS NOT NULL) SELECT r.id, coalesce(nullif(r.year, 0), (SELECT max(nullif(x.year, 0)) FROM g JOIN records x ON x.id = g.id WHERE g.nxt = r.id), 0) AS year FROM records r WHERE r.id NOT IN (SELECT id FROM g)")
 def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CO3: every fiftieth record is merged into the next, which takes its year where it has none."""
     from pyspark.sql.window import Window as W
@@ -148,4 +148,4 @@ def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir).withColumn("year", F.nullif("year", F.lit(0)))
     nxt = r.select("ord", "id", "kind", F.lead("id").over(W.orderBy("ord")).alias("to_id")).where("ord % 50 = 1 and to_id is not null")
     survivors, _, _ = overlay.merge(r, nxt.select(F.col("id").alias("from_id"), "kind", "to_id", "ord"), ["year"])
-    return survivors.select("id", "year")
+    return survivors.select("id", F.coalesce("year", F.lit(0)).alias("year"))
