@@ -77,7 +77,7 @@ def match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def variants_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = testdata.match_queries(spark, sf_dir)
-    return matching.expand(q.select(F.col("query_id").cast("string").alias("query_id"), "kind", F.array("query").alias("forms")))
+    return matching.expand(q.select("query_id", "kind", F.array("query").alias("forms")))
 
 
 @query(CTE + QUERY_SQL + f""", q AS (SELECT {S.norm('query')} AS qn FROM queries), t AS (SELECT DISTINCT unnest({S.words('qn')}) AS token FROM q),
