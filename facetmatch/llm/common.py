@@ -108,18 +108,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-#: Bytes as words see them: ASCII letters in lower case, digits and bytes from 128 kept, all else 0, which parts words.
+#: Bytes as words see them (after small_letters): ASCII letters in lower case, digits and bytes from 128 kept, all else 0, which parts words.
 FOLD = np.zeros(256, np.uint8)
 FOLD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
 FOLD[65:91] = np.arange(97, 123)
 
 
+def small_letters(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals from À to Þ made small (ASCII is left to the tables)."""
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] <= 0x9E) & (data[at] != 0x97)]
+    if len(at):
+        data = data.copy()
+        data[at] += 32
+    return data
+
+
 def words(data: np.ndarray, at: np.ndarray, fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words in order, and at which word each row begins (one more than rows)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    t = fold[data]
+    t = fold[small_letters(data)]
     inside = t != 0
     new = np.zeros(n + 1, bool)
     new[at] = True

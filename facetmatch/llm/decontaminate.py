@@ -1,6 +1,6 @@
 """Benchmark passages in documents, also with edits, by way of the CGK embedding.
 
-Texts are folded first (ASCII letters in lower case; each run of other ASCII bytes than letters and digits is one space). An item of
+Texts are folded first (letters of ASCII and Latin-1 in lower case; each run of other ASCII bytes than letters and digits is one space). An item of
 n folded bytes is found in a document if some stretch of it is within floor(max_edits * n) edits (Levenshtein) of the item.
 
 The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) maps a string to 3n symbols: at each step it writes the current byte, and a
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetmatch.llm.common import chunks, map_rows, mix, pick, utf8
+from facetmatch.llm.common import chunks, map_rows, mix, pick, small_letters, utf8
 
 FOLDED = np.full(256, 32, np.uint8)
 FOLDED[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
@@ -50,7 +50,7 @@ class Params:
 
 def fold(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes of all rows and where each begins; a newline closes each row, so that no stretch of two rows matches."""
-    t = FOLDED[data]
+    t = FOLDED[small_letters(data)]
     keep = np.ones(len(t), bool)
     keep[1:] = (t[1:] != 32) | (t[:-1] != 32)
     begins = at[:-1][np.diff(at) > 0]

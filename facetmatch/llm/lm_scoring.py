@@ -1,6 +1,6 @@
 """Cross-entropy difference (Moore and Lewis 2010) between a target and a background n-gram model.
 
-Tokens are folded words (ASCII letters in lower case, digits, bytes from 128; all else parts them) and an end mark. Both models share one
+Tokens are folded words (letters of ASCII and Latin-1 in lower case, digits, bytes from 128; all else parts them) and an end mark. Both models share one
 vocabulary, the `vocabulary` most frequent words of target and background together (ties by hash), and <unk> for the rest. They are
 matched: the same order, smoothing and tables. Bigrams are counted over all documents into 2**`bucket_bits` hashed buckets, so that what is
 broadcast has a fixed size however large the corpus; words are counted exactly.

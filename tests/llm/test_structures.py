@@ -208,6 +208,14 @@ def test_found_items_equal_brute_force(spark):
     assert len({(r["doc_id"], r["item_id"]) for r in passes.collect()} ^ {(i, k) for i, k, _ in got}) <= 0.1 * len(sure)
 
 
+def test_capitals_with_marks_are_the_same_letters():
+    item = "Été à l'école où le garçon ÇÀ et là des œuvres naïves, très élevées"
+    raw = ("x " + item.upper().replace(" ", "!! ") + " y").encode()
+    found = D.Index([(9, item)]).find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert [(r, i) for r, i, _ in found] == [(0, 9)]
+    assert shingles("Été Çà et là ×") == shingles("ÉTÉ ÇÀ ET LÀ ×")
+
+
 # packing
 
 
