@@ -94,8 +94,7 @@ def candidates(data: np.ndarray, at: np.ndarray, longest: int) -> Iterator[tuple
     word = lambda i, r: re.sub(r"\W+", "", data[s[i] : min(e[i], s[i] + 64)].tobytes().decode("utf-8", "replace").lower()) if 0 <= i < len(s) and row[i] == r else ""
     joins = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]) | (s[hit[1:]] != e[hit[:-1]] + 1)]))
     for a, b in zip(hit[joins], np.append(hit[joins[1:] - 1], hit[-1])):
-        # neighbours are one candidate only where together they are a known form; else each stands alone
-        spans = [(a, b)] if a < b and e[b] - s[a] <= longest and _joined(data[s[a] : e[b]].tobytes()) else [(i, i) for i in range(a, b + 1)]
+        spans = _spans([data[s[i] : e[i]].tobytes().decode("utf-8", "replace") if e[i] - s[i] <= longest else "" for i in range(a, b + 1)], a) if a < b else [(a, a)]
         for i, j in spans:
             if e[j] - s[i] > longest:
                 continue
@@ -107,10 +106,26 @@ def candidates(data: np.ndarray, at: np.ndarray, longest: int) -> Iterator[tuple
                 yield r, begin - int(at[r]), begin - int(at[r]) + len(value.encode()), value, word(i - 1, r), word(j + 1, r)
 
 
-def _joined(raw: bytes) -> bool:
-    """Whether neighbouring chunks are one number: two groups of digits at least, none longer than four, and no letters."""
-    t = EDGE.sub("", raw.decode("utf-8", "replace"))
-    return bool(re.fullmatch(r"[+(]?\d{1,4}\)?([ .()-]+\d{1,4}\)?)+", t))
+def _spans(parts: list[str], at: int) -> list[tuple[int, int]]:
+    """Neighbouring chunks as candidates: those that are identifiers themselves stand alone, a + begins a new one, a mark of punctuation ends one, and of the rest neighbours are one where together they have the form of one number."""
+    groups: list[list[int]] = []
+    alone = [seed_kind(EDGE.sub("", t)) in ("email", "ip", "card") or "@" in t for t in parts]
+    for i, t in enumerate(parts):
+        if not groups or alone[i] or alone[i - 1] or parts[i - 1][-1:] in (*",;:.!?",) or t.lstrip("([\"'").startswith("+"):
+            groups.append([i])
+        else:
+            groups[-1].append(i)
+    out = []
+    for g in groups:
+        one = len(g) > 1 and _joined(" ".join(parts[i] for i in g))
+        out += [(at + g[0], at + g[-1])] if one else [(at + i, at + i) for i in g]
+    return out
+
+
+def _joined(text: str) -> bool:
+    """Whether chunks are one number: two groups of digits at least, none longer than four, 19 digits at most, and no letters."""
+    t = EDGE.sub("", text)
+    return sum(c.isdigit() for c in t) <= 19 and bool(re.fullmatch(r"[+(]?\d{1,4}\)?([ .()-]+\d{1,4}\)?)+", t))
 
 
 def occurrences(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -234,6 +234,13 @@ def test_confidences_equal_brute_force(spark):
     assert {(r["value"], r["kind"]): round(r["confidence"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in known.items()}
 
 
+def test_neighbouring_identifiers_stand_apart():
+    t = "call +1 (826) 555-4081 190.137.223.204 or +1 (222) 555-1111 +1 (333) 555-2222, 4111 1111 1111 1111 a.b@c.com 12 x"
+    data = np.frombuffer(t.encode(), np.uint8)
+    got = [v for _, _, _, v, _, _ in P.candidates(data, np.array([0, len(data)]), 200)]
+    assert got == ["+1 (826) 555-4081", "190.137.223.204", "+1 (222) 555-1111", "+1 (333) 555-2222", "4111 1111 1111 1111", "a.b@c.com", "12"]
+
+
 def test_a_long_text_without_spaces(spark):
     docs = spark.createDataFrame([(1, "a" * 300_000 + "1" + "b" * 300_000, "x", "s", 1), (2, "x 4111111111111111 y", "x", "s", 1)], SCHEMA)
     assert [r["doc_id"] for r in P.extract(docs).collect()] == [2]
