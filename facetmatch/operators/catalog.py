@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetmatch.functions.similarity import trigrams
-from facetmatch.functions.text import digits_of, match_normalize, type_normalize, words_of
-from facetmatch.session import checkpoint
+from facetmatch.functions.text import digits_of, let, match_normalize, type_normalize, words_of
+from facetmatch.session import checkpoint, spread
 from facetmatch.sources.testdata import Asset
 
 
@@ -22,10 +22,11 @@ class Catalog:
 
 def build(asset: Asset) -> Catalog:
     """CAT1 to CAT6. entries: ord, id, kind, title, norm, tokens, grams, digits, aliases (of alias, norm, grams, via, market)."""
-    rows = asset.records.where("id is not null and name is not null")
-    spoken = asset.aliases.where("id is not null and alias is not null").withColumn("n", match_normalize(F.col("alias")))
-    grouped = spoken.groupBy(F.col("id").alias("alias_of")).agg(F.array_sort(F.collect_list(F.struct("slot", "alias", F.col("n").alias("norm"), trigrams(F.col("n")).alias("grams"), "via", "market"))).alias("a"))
-    joined = rows.join(grouped, F.col("id") == F.col("alias_of"), "left").withColumn("norm", match_normalize(F.col("name")))
+    rows = spread(asset.records.where("id is not null and name is not null"), "id")
+    raw = spread(asset.aliases.where("id is not null and alias is not null"), "id")
+    grouped = raw.groupBy(F.col("id").alias("alias_of")).agg(F.array_sort(F.collect_list(F.struct("slot", "alias", "via", "market"))).alias("raw"))
+    form = lambda x: let(match_normalize(x["alias"]), lambda n: F.struct(x["slot"].alias("slot"), x["alias"].alias("alias"), n.alias("norm"), trigrams(n).alias("grams"), x["via"].alias("via"), x["market"].alias("market")))
+    joined = rows.join(grouped, F.col("id") == F.col("alias_of"), "left").withColumn("norm", match_normalize(F.col("name"))).withColumn("a", F.transform("raw", form))
     none = F.array().cast("array<struct<slot:int,alias:string,norm:string,grams:array<string>,via:string,market:string>>")
     entries = joined.select(
         "ord", "id", "kind", F.col("name").alias("title"), "norm", words_of(F.col("norm")).alias("tokens"), trigrams(F.col("norm")).alias("grams"), digits_of(F.col("norm")).alias("digits"),

@@ -19,3 +19,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df hashed by keys over spark.sql.shuffle.partitions, which isn't coalesced: for little data that much is worked out of. Later groupings, joins and windows by keys need no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
