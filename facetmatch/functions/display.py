@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from facetmatch.functions.text import fold
 
 DOT = " · "
-TRAITS = "point-and-shoot folding motorized subminiature stereo detective toy movie underwater panoramic press instant-print aerial magazine".split()
+TRAITS = sorted("magazine aerial instant-print press panoramic underwater movie toy detective stereo subminiature motorized folding point-and-shoot".split())
 #: Discontinued film: the last year it was widely sold, where known.
 DEAD_FILM = {"disc": 1999, "aps": 2011, "828": 1985, "620": 1995, "127": 1995, "126": 1999, "117": None, "116": 1984, "110": None}
 MERCURY = r"(?i)(?<![A-Za-z0-9_])(?:PX ?(?:825|675|640|625|400|27|23|21|14|13|1)|MR ?(?:44|9)|V625|HG|mercury)(?![A-Za-z0-9_])"
 MARKET_WORDING = {"jp": "the Japanese name", "eu": "the European name", "intl": "the international name", "us": "the US name"}
-BODY_TYPES = ("viewfinder", "compact", "slr", "view", "rangefinder", "box", "tlr", "other", "mirrorless", "bridge", "pinhole", "pseudo-tlr")
+BODY_TYPES = tuple("box bridge compact mirrorless other pinhole pseudo-tlr rangefinder slr tlr view viewfinder".split())
 
 
 def joined(sep: str, *parts: Column) -> Column:

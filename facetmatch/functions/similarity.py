@@ -9,8 +9,12 @@ from pyspark.sql.types import IntegerType
 
 from facetmatch.functions.text import let, match_normalize
 
-#: Logistic weights of the eight features, in order: bias, title trigrams, tokens, equal, maker, numbers, prefix, best trigrams.
-WEIGHTS = (-5.221066853479779, 2.627068932352563, 0.5358987618092962, 2.0065531794467506, -0.9401479348182489, 1.615277122540201, 0.06833240278679657, 2.785336213276419)
+#: Logistic weights by feature, and in the order of features().
+BY_FEATURE = {
+    "best trigrams": 2.785336213276419, "bias": -5.221066853479779, "equal": 2.0065531794467506, "maker": -0.9401479348182489,
+    "numbers": 1.615277122540201, "prefix": 0.06833240278679657, "title trigrams": 2.627068932352563, "tokens": 0.5358987618092962,
+}
+WEIGHTS = tuple(BY_FEATURE[k] for k in ("bias", "title trigrams", "tokens", "equal", "maker", "numbers", "prefix", "best trigrams"))
 
 
 def grams_of_normal(norm: Column) -> Column:

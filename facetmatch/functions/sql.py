@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-STOP = "body only|body|boxed|box & lens set|outfit|kit|bundle|lot|w/ ?case|with case|no meter|chrome|black|silver|brown"
+STOP = "with case|w/ ?case|silver|outfit|no meter|lot|kit|chrome|bundle|brown|boxed|box & lens set|body only|body|black"
 
 
 def norm(x: str) -> str:

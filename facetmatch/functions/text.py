@@ -16,7 +16,7 @@ _FOLD = str.maketrans(_PAIRS) | {i: None for i in range(0x300, 0x370)} | {ord("
 #: Word edges as ASCII sees them.
 B0, B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
-DESCRIPTOR_WORDS = ["body only", "body", "boxed", "box & lens set", "outfit", "kit", "bundle", "lot", "w/ ?case", "with case", "no meter", "chrome", "black", "silver", "brown"]
+DESCRIPTOR_WORDS = ["black", "body only", "body", "box & lens set", "boxed", "brown", "bundle", "chrome", "kit", "lot", "no meter", "outfit", "silver", "w/ ?case", "with case"]
 
 #: For batch matching, after lower case and folding.
 MATCH_RULES = [
@@ -35,7 +35,7 @@ MATCH_RULES = [
     (r"-", " "),
     (r"\s+", " "),
 ]
-ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
+ROMAN = {numeral: str(n) for n, numeral in enumerate("i ii iii iv v vi vii viii ix x".split(), 1)}
 
 #: For typeahead: roman numerals stay, letters and digits part, a mark of generation has one form.
 TYPE_RULES = [
