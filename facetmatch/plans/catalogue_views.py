@@ -69,7 +69,7 @@ def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.resolve(r.select(F.col("from_id").alias("id"), F.lit(None).cast("string").alias("kind")), r).select("id", "resolved", "hops")
 
 
-@query(T + ", a AS (SELECT id, list(alias ORDER BY slot) AS said FROM aliases WHERE via IN ('name', 'market', 'superseded', 'correction', 'maker') GROUP BY id) SELECT r.id, name AS canonical, recommended_name AS recommended, list_concat([name], list_filter(coalesce(said, []), lambda x: x <> name)) AS spoken FROM records r LEFT JOIN a USING (id)")
+@query(T + ", a AS (SELECT id, list(alias ORDER BY slot) AS said FROM aliases WHERE via IN ('correction', 'maker', 'market', 'name', 'superseded') GROUP BY id) SELECT r.id, name AS canonical, recommended_name AS recommended, list_concat([name], list_filter(coalesce(said, []), lambda x: x <> name)) AS spoken FROM records r LEFT JOIN a USING (id)")
 def names_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = asset(spark, sf_dir)
     return names.spoken_names(a.records, a.aliases)

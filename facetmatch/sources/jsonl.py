@@ -15,9 +15,10 @@ DATA = (
     "shutter_speeds:string,meter_type:string,metered:int,batteries:array<string>,focal_length:string,focal_min_mm:double,focal_max_mm:double,lens_type:string,max_aperture:string,min_aperture:string,"
     "filter_size:string,elements_groups:string,min_focus:string,also_takes:array<struct<format:string,frame_size:string,via:string>>,exposure_modes:array<string>,iso_manual_range:string,dx_coding:string,dx_range:string>"
 )
-RECORD = f"id string, name string, recommended_name string, gearbook_version string, confidence string, data {DATA}, variants array<{VARIANT}>"
-ALIAS = "alias string, gearbook_kind string, gearbook_id string, via string, market string"
-REDIRECT = "from_id string, from_name string, gearbook_kind string, to_id string, to_name string"
+RECORD = f"id string, name string, recommended_name string, confidence string, data {DATA}, variants array<{VARIANT}>"
+#: {0}: the prefix that the release gives its own fields.
+ALIAS = "alias string, {0}_kind string, {0}_id string, via string, market string"
+REDIRECT = "from_id string, from_name string, {0}_kind string, to_id string, to_name string"
 
 
 def parse_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -36,9 +37,14 @@ def records_from_jsonl(spark: SparkSession, cameras: str, lenses: str) -> DataFr
     return tag(cameras, "camera", 0).unionByName(tag(lenses, "lens", 1))
 
 
-def aliases_from_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    rows = parse_jsonl(spark, path, ALIAS).where("alias is not null and gearbook_id is not null")
-    return rows.select("alias", F.col("gearbook_kind").alias("kind"), F.col("gearbook_id").alias("id"), "via", "market", F.monotonically_increasing_id().alias("slot"))
+def aliases_from_jsonl(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    rows = parse_jsonl(spark, path, ALIAS.format(prefix)).where(f"alias is not null and {prefix}_id is not null")
+    return rows.select("alias", F.col(f"{prefix}_kind").alias("kind"), F.col(f"{prefix}_id").alias("id"), "via", "market", F.monotonically_increasing_id().alias("slot"))
+
+
+def redirects_from_jsonl(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    rows = parse_jsonl(spark, path, REDIRECT.format(prefix)).where("from_id is not null and to_id is not null")
+    return rows.select(F.monotonically_increasing_id().alias("ord"), "from_id", F.col(f"{prefix}_kind").alias("kind"), "to_id")
 
 
 def corrections(spark: SparkSession, path: str) -> DataFrame:

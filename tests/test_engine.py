@@ -123,7 +123,7 @@ def test_contract(spark):
 
 
 def test_corrections(spark, tmp_path):
-    lines = [{"name": "A", "kind": "camera", "set": {"year": 1950, "maker": None}, "aliases": ["Alpha"]}, {"name": "A", "kind": "camera", "set": {"year": 1951}}, {"name": "B", "kind": "camera", "set": {"year": 1}, "merge_into": "A"}]
+    lines = [{"kind": "camera", "name": "A", "set": {"maker": None, "year": 1950}, "aliases": ["Alpha"]}, {"kind": "camera", "name": "A", "set": {"year": 1951}}, {"kind": "camera", "name": "B", "set": {"year": 1}, "merge_into": "A"}]
     (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\nnot json\n")
     c = jsonl.corrections(spark, str(tmp_path / "c.jsonl"))
     records = spark.createDataFrame([("1", "A", "camera", "M", 1900), ("2", "B", "camera", "N", None), ("3", "C", "camera", None, 1970)], "id string, name string, kind string, maker string, year int")

@@ -78,8 +78,8 @@ def test_osa_against_recursion(a, b, most):
     def d(i, j):
         if not i or not j:
             return i + j
-        best = min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
-        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+        best = min(1 + d(i, j - 1), 1 + d(i - 1, j), (a[i - 1] != b[j - 1]) + d(i - 1, j - 1))
+        if min(i, j) > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
             best = min(best, d(i - 2, j - 2) + 1)
         return best
 
