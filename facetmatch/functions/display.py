@@ -142,3 +142,26 @@ def legacy_params(p: Column) -> Column:
 
 def search_key(c: Column) -> Column:
     return fold(c)
+
+
+def spec_rows(pairs: list[tuple[str, Column]]) -> Column:
+    """DT4: label and value of what is known, in the order given."""
+    rows = F.array(*[F.struct(F.lit(label).alias("label"), value.cast("string").alias("value")) for label, value in pairs])
+    return F.filter(rows, lambda r: r["value"].isNotNull() & (r["value"] != ""))
+
+
+def first_facts(rows: Column, priority: list[str], most: int) -> Column:
+    """DT5: the first few labels of a priority that are known."""
+    ordered = F.flatten(F.transform(F.array(*map(F.lit, priority)), lambda p: F.filter(rows, lambda r: r["label"] == p)))
+    return F.slice(ordered, 1, most)
+
+
+def advice(good: Column, poor: Column) -> Column:
+    """DT6: null unless both sides say something."""
+    return F.when((F.size(good) > 0) & (F.size(poor) > 0), F.concat(F.lit("Good for "), F.array_join(good, ", "), F.lit("; less so for "), F.array_join(poor, ", "), F.lit(".")))
+
+
+def browse_links(kind: Column, pairs: list[tuple[str, Column]]) -> Column:
+    """DT7: a link into browsing for each known value."""
+    made = [F.when(v.isNotNull() & (v != ""), F.concat(F.lit("#/browse?kind="), kind, F.lit(f"&{k}="), F.url_encode(v))) for k, v in pairs]
+    return F.array_compact(F.array(*made))

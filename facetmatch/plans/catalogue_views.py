@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmatch.functions.display import explain, hazards
+from facetmatch.functions.display import browse_links, explain, first_facts, hazards, spec_rows
 from facetmatch.operators import browse, contract, names, overlay
 from facetmatch.operators.browse import Filters
 from facetmatch.registry import query
@@ -149,3 +149,14 @@ def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = r.select("ord", "id", "kind", F.lead("id").over(W.orderBy("ord")).alias("to_id")).where("ord % 50 = 1 and to_id is not null")
     survivors, _, _ = overlay.merge(r, nxt.select(F.col("id").alias("from_id"), "kind", "to_id", "ord"), ["year"])
     return survivors.select("id", F.coalesce("year", F.lit(0)).alias("year"))
+
+
+@query(T + """, p AS (SELECT id, kind, body_type, list_filter(['Type: ' || lower(body_type), CASE WHEN len(traits) > 0 THEN 'Traits: ' || array_to_string(traits, ', ') END, CASE WHEN len(mounts) > 0 THEN 'Mount: ' || array_to_string(mounts, ', ') END, 'Maker: ' || manufacturer, CASE WHEN year > 0 THEN 'Year: ' || year END], lambda x: x IS NOT NULL) AS specs FROM records)
+SELECT id, specs, list_concat(list_filter(specs, lambda x: starts_with(x, 'Mount: ')), list_filter(specs, lambda x: starts_with(x, 'Year: ')), list_filter(specs, lambda x: starts_with(x, 'Type: ')))[1:2] AS glance, ['#/browse?kind=' || kind || '&body=' || body_type] AS links FROM p""")
+def spec_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DT4, DT5, DT7."""
+    listed = lambda c: F.array_join(c, ", ")
+    r = records(spark, sf_dir)
+    rows = spec_rows([("Type", F.lower("body_type")), ("Traits", listed("traits")), ("Mount", listed("mounts")), ("Maker", F.col("manufacturer")), ("Year", F.nullif("year", F.lit(0)))])
+    line = lambda c: F.transform(c, lambda x: F.concat(x["label"], F.lit(": "), x["value"]))
+    return r.select("id", rows.alias("rows"), browse_links(F.col("kind"), [("body", F.col("body_type"))]).alias("links")).select("id", line("rows").alias("specs"), line(first_facts(F.col("rows"), ["Mount", "Year", "Type"], 2)).alias("glance"), "links")
