@@ -1,9 +1,12 @@
 """Cross-entropy difference (Moore and Lewis 2010) between a target and a background n-gram model.
 
 Tokens are folded words (letters of ASCII and Latin-1 in lower case, digits, bytes from 128; all else parts them) and an end mark. Both models share one
-vocabulary, the `vocabulary` most frequent words of target and background together (ties by hash), and <unk> for the rest. They are
-matched: the same order, smoothing and tables. Bigrams are counted over all documents into 2**`bucket_bits` hashed buckets, so that what is
-broadcast has a fixed size however large the corpus; words are counted exactly.
+vocabulary, all words of target and background, and are matched: the same order, smoothing and tables. Words and bigrams are all counted, by
+64-bit keys. With `vocabulary`, only so many of the most frequent words are told apart (ties by hash), and the rest are <unk>; with `bucket_bits`, bigrams
+share 2**`bucket_bits` buckets. Neither is set by default.
+
+No table of counts is gathered anywhere. Texts are cut into pieces; each sends its distinct keys with their counts to the parts of the key space, which
+add them up and send the totals back to the piece, which scores its documents. What a task holds is one piece, or one part; the number of parts grows with the tokens.
 
 P(w) = (c(w) + alpha) / (N + alpha (V + 2)); P(w|v) = (c(v,w) + mu P(w)) / (c(v) + mu). A document's score is the mean over its
 tokens of target loss less background loss, in bits: the lower, the more like the target.
@@ -23,17 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetmatch.llm.common import chunks, mix, pick, sized, utf8, words
+from facetmatch.llm.common import BASE, chunks, mix, pick, sized, utf8, words
 
 
 @dataclass(frozen=True)
 class Params:
-    vocabulary: int = 1 << 17
-    bucket_bits: int = 22
+    vocabulary: int | None = None
+    bucket_bits: int | None = None
     alpha: float = 0.5
     mu: float = 50.0
     #: Distinct keys that a task holds before it hands them on.
     held: int = 1 << 20
+    #: Bytes of text a piece (a longer text alone), and tokens that a part of the key space stands for.
+    piece: int = 1 << 23
+    part_tokens: int = 1 << 21
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -44,20 +50,27 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(sized(chosen), rows["doc_id"] == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
 
 
-def tokens(data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all tokens, each row closed by the end mark, and where each row begins. vocabulary: sorted hashes; <unk> and the end mark follow it."""
+#: The end mark's id where words are their own hashes, and what sets the keys of words and of buckets apart from those of bigrams.
+END, WORD, BUCKET = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
+
+
+def tokens(data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all tokens, each row closed by the end mark, and where each row begins. vocabulary: sorted hashes; <unk> and the end mark follow it. Without it words are their hashes."""
     h, first = words(data, at)
-    v = len(vocabulary)
-    place = np.minimum(np.searchsorted(vocabulary, h), max(v - 1, 0))
-    ids = np.where(vocabulary[place] == h, place, v) if v else np.zeros(len(h), np.int64)
-    return np.insert(ids, first[1:], v + 1), first + np.arange(len(first))
+    ids, v = h, 0 if vocabulary is None else len(vocabulary)
+    if vocabulary is not None:
+        place = np.minimum(np.searchsorted(vocabulary, h), max(v - 1, 0))
+        ids = (np.where(vocabulary[place] == h, place, v) if v else np.zeros(len(h))).astype(np.uint64)
+    return np.insert(ids, first[1:], END if vocabulary is None else np.uint64(v + 1)), first + np.arange(len(first))
 
 
-def bigrams(ids: np.ndarray, first: np.ndarray, end: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token what stands before it (the end mark, at the start), and the bucket of the pair."""
+def bigrams(ids: np.ndarray, first: np.ndarray, end: int, bits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each token what stands before it (the end mark, at the start), and the 64-bit key of the pair, or its bucket."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[first[:-1]] = end
+    if bits is None:
+        return before, mix(mix(before.astype(np.uint64) + WORD) * BASE + ids.astype(np.uint64))
     return before, (mix(before.astype(np.uint64) * np.uint64(0x1000003) ^ (ids.astype(np.uint64) << np.uint64(32))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -98,80 +111,140 @@ def counts(rows: DataFrame, keys, p: Params) -> DataFrame:
     return rows.select("text", "target").mapInArrow(run, "k long, t long, b long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
-def packed(table: DataFrame) -> DataFrame:
-    """Counts as a few rows of bytes (12 a key), for the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [pa.array([batch.column(i).to_numpy().astype(kind).tobytes()], pa.binary()) for i, kind in enumerate((np.int32, np.float32, np.float32))]
-            yield pa.RecordBatch.from_arrays(parts, ["k", "t", "b"])
-
-    return table.mapInArrow(run, "k binary, t binary, b binary")
-
-
 @dataclass
 class Models:
-    vocabulary: np.ndarray
-    word: np.ndarray  # two by V + 2
-    pair: np.ndarray  # two by buckets
-
-    def losses(self, data: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of each row, and the mean losses (two by rows)."""
-        v = len(self.vocabulary)
-        ids, first = tokens(data, at, self.vocabulary)
-        before, bucket = bigrams(ids, first, v + 1, p.bucket_bits)
-        n = np.diff(first)
-        out = np.empty((2, len(n)))
-        for m in range(2):
-            c, total = self.word[m], self.word[m].sum()
-            single = (c + p.alpha) / (total + p.alpha * (v + 2))
-            loss = -np.log2((self.pair[m][bucket] + p.mu * single[ids]) / (c[before] + p.mu))
-            out[m] = np.add.reduceat(loss, first[:-1]) / n if len(n) else 0
-        return n, out[0], out[1]
+    rows: DataFrame  # text, target: what is counted
+    vocabulary: np.ndarray | None
+    words: int
+    total: tuple[int, int]  # tokens of target and background
 
 
 def fit(rows: DataFrame, p: Params = Params()) -> Models:
-    """rows: text, target. Both models, from counts over all rows."""
+    """rows: text, target. What both models need besides the counts by key."""
 
     def word_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h, first = words(data, at)
-        return h.view(np.int64), first
-
-    seen = counts(rows, word_keys, p).withColumn("n", F.col("t") + F.col("b"))
-    top = seen.orderBy(F.desc("n"), "k").limit(p.vocabulary).select("k").toArrow()["k"].to_numpy()
-    vocabulary = np.sort(top.astype(np.int64).view(np.uint64))
-    v = len(vocabulary)
-
-    def pair_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, first = tokens(data, at, vocabulary)
-        _, bucket = bigrams(ids, first, v + 1, p.bucket_bits)
-        # words as negative keys beside the buckets, so that one pass counts both
-        return np.stack([bucket, -1 - ids], 1).ravel(), first * 2
-
-    word, pair = np.zeros((2, v + 2)), np.zeros((2, 1 << p.bucket_bits), np.float32)
-    for row in packed(counts(rows, pair_keys, p)).collect():
-        k = np.frombuffer(row["k"], np.int32)
-        of_word = k < 0
-        for m, name in enumerate("tb"):
-            c = np.frombuffer(row[name], np.float32)
-            word[m][-1 - k[of_word]] = c[of_word]
-            pair[m][k[~of_word]] = c[~of_word]
-    return Models(vocabulary, word, pair)
+        ids, first = tokens(data, at, None)
+        return ids.view(np.int64), first
+
+    seen, end = counts(rows, word_keys, p), int(END.astype(np.int64))
+    vocabulary = None
+    if p.vocabulary is not None:
+        top = seen.where(F.col("k") != end).orderBy(F.desc(F.col("t") + F.col("b")), "k").limit(p.vocabulary).select("k").toArrow()["k"].to_numpy()
+        vocabulary = np.sort(top.astype(np.int64).view(np.uint64))
+    n = seen.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if(F.col("k") != end).alias("v")).first()
+    return Models(rows, vocabulary, n["v"] if vocabulary is None else len(vocabulary), (n["t"] or 0, n["b"] or 0))
+
+
+def _blob(x: np.ndarray) -> bytes:
+    """Whole numbers from 0, packed: all their lowest bytes, then the next, as many as the greatest needs."""
+    size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8).T[:size]
+    return bytes([size]) + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _unblob(x: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, : x[0]] = np.frombuffer(pa.decompress(x[1:], n * x[0], "zstd", asbytes=True), np.uint8).reshape(x[0], n).T
+    return planes.view(np.uint64).ravel()
+
+
+def _keys(vocab: np.ndarray, w: np.ndarray, first: np.ndarray, end: np.uint64, bits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a piece, from its distinct ids and each token's place among them: keys of the ids and then of the distinct pairs, their order, and each token's place among the pairs."""
+    _, pair = bigrams(vocab[w], first, end, bits)
+    pairs, of = np.unique(pair if bits is None else mix(pair.astype(np.uint64) + BUCKET), return_inverse=True)
+    keys = np.concatenate([mix(vocab ^ WORD), pairs])
+    return keys, np.argsort(keys, kind="stable"), of
 
 
 def score(rows: DataFrame, models: Models, p: Params = Params()) -> DataFrame:
+    """rows: doc_id, text. By the counts of the models' rows."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sent = rows.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+    vocabulary, v, total = models.vocabulary, models.words, models.total
+    end = END if vocabulary is None else np.uint64(v + 1)
+    bits = max(4, (sum(total) // p.part_tokens).bit_length())
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    # of: whether a row counts for the target; null: it is only scored
+    if rows is models.rows:
+        every = rows.select("doc_id", "text", F.col("target").alias("of"), F.lit(True).alias("give"))
+    else:
+        every = rows.select("doc_id", "text", F.lit(None).cast("boolean").alias("of"), F.lit(True).alias("give")).union(models.rows.select(F.lit(None).cast(kind), "text", "target", F.lit(False)))
+    schema = f"piece long, part long, n long, keys binary, t binary, b binary, docs array<{kind}>, sizes binary, give binary, vocab binary, w binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        piece = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, at = utf8(batch.column(1))
-            for lo, hi, part, offsets in chunks(data, at, 1 << 22):
-                n, t, b = models.losses(part, offsets, p)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(np.round(t, 6)), pa.array(np.round(b, 6)), pa.array(np.round(t - b, 6))], ["doc_id", "tokens", "loss_target", "loss_background", "difference"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens long, loss_target double, loss_background double, difference double")
+            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False).astype(bool)
+            target = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            give = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, part, offsets in chunks(data, at, p.piece):
+                ids, first = tokens(part, offsets, vocabulary)
+                size = np.diff(first)
+                vocab, w, often = np.unique(ids, return_inverse=True, return_counts=True)
+                rank = np.argsort(-often, kind="stable")  # frequent ones first, which packs best
+                vocab, w = vocab[rank], np.argsort(rank)[w]
+                keys, order, of = _keys(vocab, w, first, end, p.bucket_bits)
+                here = [np.repeat(x[lo:hi], size) for x in (known & target, known & ~target)]
+                t, b = (np.concatenate([np.bincount(w, x, len(vocab)), np.bincount(of, x, len(keys) - len(vocab))]).astype(np.int64)[order] for x in here)
+                keys = keys[order]
+                cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).tolist()
+                filled = [(k, x, y) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+                docs = pa.ListArray.from_arrays(pa.array([0] * (len(filled) + 1) + [hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo), mask=pa.array([True] * len(filled) + [False]))
+                none = [None] * len(filled)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([piece] * (len(filled) + 1), pa.int64()), pa.array([*(k for k, _, _ in filled), -1 - piece], pa.int64()), pa.array([*(y - x for _, x, y in filled), len(w)], pa.int64())]
+                    + [pa.array([*x, None], pa.binary()) for x in ([_blob(np.diff(keys[x:y], prepend=np.uint64(0))) for _, x, y in filled], [_blob(t[x:y]) for _, x, y in filled], [_blob(b[x:y]) for _, x, y in filled])]
+                    + [docs, *(pa.array([*none, x], pa.binary()) for x in (size.astype(np.int64).tobytes(), give[lo:hi].tobytes(), vocab.tobytes(), _blob(w)))],
+                    names,
+                )
+                piece += 1
+
+    def add(group: pa.Table) -> pa.Table:
+        """The slices of one part, with totals for counts; a piece's row of documents as it is."""
+        if group["docs"].null_count < len(group):
+            return group
+        n = group["n"].to_numpy()
+        get = lambda c: group[c].to_pylist()
+        keys = np.concatenate([np.cumsum(_unblob(x, k), dtype=np.uint64) for x, k in zip(get("keys"), n.tolist())])
+        of = np.unique(keys, return_inverse=True)[1]
+        cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
+        for c in "tb":
+            every = np.concatenate([_unblob(x, k) for x, k in zip(get(c), n.tolist())]).astype(np.int64)
+            sums = np.bincount(of, every).astype(np.int64)[of]
+            group = group.set_column(names.index(c), group.schema.field(c), pa.array([_blob(sums[x:y]) for x, y in zip(cuts, cuts[1:])], group.schema.field(c).type))
+        at = names.index("keys")
+        return group.set_column(at, group.schema.field("keys"), pa.nulls(len(group), group.schema.field("keys").type))
+
+    def finish(group: pa.Table) -> pa.Table:
+        part = group["part"].to_numpy()
+        at, n = int(np.argmin(part)), group["n"].to_numpy()
+        last = lambda c: group[c][at].as_py()
+        size, vocab = np.frombuffer(last("sizes"), np.int64), np.frombuffer(last("vocab"), np.uint64)
+        give = np.frombuffer(last("give"), bool)
+        w = _unblob(last("w"), int(n[at])).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])
+        keys, order, of = _keys(vocab, w, first, end, p.bucket_bits)
+        before, _ = bigrams(w, first, int(np.flatnonzero(vocab == end)[0]), 1)
+        rows = [i for i in np.argsort(part).tolist() if i != at]
+        out = []
+        for m, c in enumerate("tb"):
+            blobs = group[c].to_pylist()
+            sums = np.empty(len(keys))
+            sums[order] = np.concatenate([_unblob(blobs[i], int(n[i])) for i in rows])
+            word, pair = sums[: len(vocab)], sums[len(vocab) :]
+            single = (word + p.alpha) / (total[m] + p.alpha * (v + 2))
+            loss = -np.log2((pair[of] + p.mu * single[w]) / (word[before] + p.mu))
+            out.append(np.add.reduceat(loss, first[:-1]) / size)
+        ids = pa.concat_arrays(group["docs"].slice(at, 1).chunks).flatten()
+        t, b = out
+        done = pa.Table.from_arrays([ids, pa.array(size), pa.array(np.round(t, 6)), pa.array(np.round(b, 6)), pa.array(np.round(t - b, 6))], ["doc_id", "tokens", "loss_target", "loss_background", "difference"])
+        return done.filter(pa.array(give))
+
+    summed = every.mapInArrow(split, schema).groupBy("part").applyInArrow(add, schema)
+    return summed.groupBy("piece").applyInArrow(finish, f"doc_id {kind}, tokens long, loss_target double, loss_background double, difference double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:

@@ -186,6 +186,21 @@ def test_targets_and_odd_rows(spark):
     assert none.count() == 7 and LM.cross_entropy_difference(docs.limit(0), labels).count() == 0
 
 
+def test_every_word_and_bigram_has_its_own_count(spark):
+    """200,000 words, each seen once: none is <unk>, and no two bigrams share a count. The losses in closed form."""
+    p, per = LM.Params(), 2000
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(per)), False) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
+    d, v = len(rows), len(rows) * per
+    low = v + d + p.alpha * (v + 2)
+    word, end = (1 + p.alpha) / low, (d + p.alpha) / low
+    each = [math.log2((1 + p.mu * word) / (d + p.mu)), *[math.log2((1 + p.mu * word) / (1 + p.mu))] * (per - 1), math.log2((1 + p.mu * end) / (1 + p.mu))]
+    got = LM.score(df, LM.fit(df, p), p).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(100)] and all(r["tokens"] == per + 1 and abs(r["loss_background"] + sum(each) / (per + 1)) < 1e-5 for r in got)
+    other = spark.createDataFrame([(7, rows[0][1], True)], "doc_id long, text string, target boolean")
+    assert [(r["doc_id"], r["loss_background"]) for r in LM.score(other, LM.fit(df, p), p).collect()] == [(7, next(r["loss_background"] for r in got if r["doc_id"] == 0))]
+
+
 # PII
 
 
