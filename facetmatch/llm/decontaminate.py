@@ -5,12 +5,13 @@ n folded bytes is found in a document if some stretch of it is within floor(max_
 
 The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) maps a string to 3n symbols: at each step it writes the current byte, and a
 random bit of (step, byte) says whether it moves on. A few edits then change few positions, so that the Hamming distance bounds the
-edit distance, and hashes of sampled positions collide for near strings. Each round draws a new walk and new positions; the number of
-rounds is what reaches `recall` at the collision rate that the items themselves show when edited at random to the limit.
+edit distance, and hashes of sampled positions collide for near strings. Each round draws a new walk and new positions. The rounds are found
+for each class of lengths (from one power of two to the next), from the items themselves, edited at random to the limit: as many as the item with the
+lowest collision rate needs for `recall`. Long items collide too rarely; where `most_rounds` don't reach `recall`, the class isn't embedded, and all its windows are verified.
 
 Windows are as long as the item. They are placed by pigeonhole: a stretch within d edits holds one of d + 1 equal pieces of the item
 unchanged, at most d bytes from its place; so only windows around such a piece are embedded, and no other window could pass the exact check.
-Pairs that collide in any round are verified with the exact edit distance.
+Windows that collide in any round, or aren't embedded, are verified with the exact edit distance.
 
 Defined results: null and empty texts and items match nothing, as do items that fold to fewer than `min_item` bytes. Repeated rows are
 each judged, repeated items each reported. Texts of any length are read whole. Empty tables give no rows. Further columns are ignored.
@@ -41,6 +42,8 @@ class Params:
     samples: int = 5
     recall: float = 0.99
     most_rounds: int = 64
+    #: Items from this many bytes on aren't embedded, as no rounds are enough.
+    long_item: int = 1 << 11
     #: Edited copies of an item that the rounds are found by.
     trials: int = 6
     seed: int = 5
@@ -67,16 +70,23 @@ def fold_text(text: str) -> bytes:
 
 
 def best_edits(item: bytes, text: bytes, most: int) -> int:
-    """The fewest edits between item and any stretch of text, or most + 1 if above most."""
-    row = np.arange(len(item) + 1)
-    a = np.frombuffer(item, np.uint8)
-    best, steps = int(row[-1]), np.arange(len(item) + 1)
+    """The fewest edits between item and any stretch of text, or most + 1 if above most. Columns of the table as bits (Myers 1999)."""
+    n, at = len(item), {}
+    for i, c in enumerate(item):
+        at[c] = at.get(c, 0) | 1 << i
+    every, top = (1 << n) - 1, 1 << max(n - 1, 0)
+    up, down, now, best = every, 0, n, n
     for c in text:
-        new = np.empty_like(row)
-        new[0] = 0
-        new[1:] = np.minimum(row[:-1] + (a != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-        best = min(best, int(row[-1]))
+        same = at.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(across | up)), up & across
+        if more & top:
+            now += 1
+        elif less & top:
+            now -= 1
+            best = min(best, now)
+        more, less, same = more << 1 & every, less << 1 & every, same | down
+        up, down = less | (every & ~(same | more)), more & same
     return min(best, most + 1)
 
 
@@ -119,9 +129,11 @@ class Index:
         self.keys, self.of, self.place = keys[order], np.array([k for _, k, _ in pieces], np.int64)[order], np.array([a for _, _, a in pieces], np.int64)[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.rounds = self._rounds()
+        self.rounds, self.exact = self._rounds()
         self._draw(self.rounds)
-        self.codes = self.embed(self.texts, np.array(list(map(len, self.texts)), np.int64))
+        embedded = [k for k in range(len(self.texts)) if not self.exact[k]]
+        self.codes = np.zeros((len(self.texts), self.rounds), np.uint64)
+        self.codes[embedded] = self.embed([self.texts[k] for k in embedded], np.array([len(self.texts[k]) for k in embedded], np.int64))
 
     def hash(self, x: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each stretch of self.gram bytes, by doubling: stretches of powers of two, the last two overlapping."""
@@ -133,32 +145,44 @@ class Index:
         return mix(h)
 
     def _draw(self, rounds: int) -> None:
-        rng, longest = np.random.default_rng(self.p.seed), max(map(len, self.texts), default=1)
+        rng, longest = np.random.default_rng(self.p.seed), max((len(t) for t, e in zip(self.texts, self.exact) if not e), default=1)
         self.bits = rng.integers(0, 2, (self.p.most_rounds, 2 * longest, 256), np.uint8)[:rounds]
         self.at = np.random.default_rng(self.p.seed + 1).random((self.p.most_rounds, self.p.samples))[:rounds]
 
-    def _rounds(self) -> int:
-        """From random edits to the limit, made to the items: how often codes stay equal in one round, and from it the rounds for the recall wanted."""
-        self._draw(self.p.most_rounds)
+    def _rounds(self) -> tuple[int, list[bool]]:
+        """From random edits to the limit, made to items of each class of lengths: how often codes stay equal in one round, and from it the rounds for the
+        recall wanted; and of each item, whether its class doesn't reach it."""
         rng, p = np.random.default_rng(self.p.seed), self.p
-        take = np.repeat(rng.permutation(len(self.texts))[:48], p.trials).tolist()
-        edited = []
-        for k in take:
-            t = bytearray(self.texts[k])
-            for _ in range(self.limits[k]):
-                j = int(rng.integers(0, max(1, len(t))))
-                kind = rng.integers(0, 3)
-                if kind < 2:
-                    del t[j : j + 1]
-                if kind > 0:
-                    t[j:j] = bytes([int(rng.integers(97, 123))])
-            edited.append(bytes(t))
-        if not take:
-            return 1
-        n = np.array([len(self.texts[k]) for k in take])
-        same = self.embed([self.texts[k] for k in take], n) == self.embed(edited, n)
-        rate = same.mean(1)
-        return next((r for r in range(1, p.most_rounds) if 1 - np.mean((1 - rate) ** r) >= p.recall), p.most_rounds)
+        classes: dict[int, list[int]] = {}
+        for k, t in enumerate(self.texts):
+            classes.setdefault(len(t).bit_length(), []).append(k)
+        rounds, exact = 1, [len(t) >= p.long_item for t in self.texts]
+        self.exact = exact
+        self._draw(p.most_rounds)
+        for members in classes.values():
+            members = [k for k in members if not exact[k]]
+            if not members:
+                continue
+            take = np.repeat(rng.permutation(members)[:48], p.trials).tolist()
+            edited = [self._edited(k, rng) for k in take]
+            n = np.array([len(self.texts[k]) for k in take])
+            rate = (self.embed([self.texts[k] for k in take], n) == self.embed(edited, n)).mean(1)
+            need = next((r for r in range(1, p.most_rounds + 1) if (1 - (1 - rate) ** r).reshape(-1, p.trials).mean(1).min() >= p.recall), None)
+            rounds = max(rounds, need or 1)
+            for k in members:
+                exact[k] = need is None
+        return rounds, exact
+
+    def _edited(self, k: int, rng: np.random.Generator) -> bytes:
+        t = bytearray(self.texts[k])
+        for _ in range(self.limits[k]):
+            j = int(rng.integers(0, max(1, len(t))))
+            kind = rng.integers(0, 3)
+            if kind < 2:
+                del t[j : j + 1]
+            if kind > 0:
+                t[j:j] = bytes([int(rng.integers(97, 123))])
+        return bytes(t)
 
     def embed(self, windows: list, n: np.ndarray) -> np.ndarray:
         """Windows by rounds: the code of each window, which is read as one of n bytes."""
@@ -189,24 +213,38 @@ class Index:
             for j in range(a, b):
                 windows.setdefault((row, int(self.of[j])), set()).add(pos - int(self.place[j]))
         tried: list[tuple[int, int, int]] = []
+        close: dict[tuple[int, int], list[int]] = {}
         for (row, k), starts in windows.items():
             n, d = len(self.texts[k]), self.limits[k]
             begin, end = int(first[row]), int(first[row + 1]) - 1
-            tried += sorted({(row, k, max(begin, s + o)) for s in starts for o in range(-d, d + 1, max(1, d // 4)) if s + o + n > begin and s + o < end})
-        if not tried:
-            return []
+            if self.exact[k]:
+                close[row, k] = sorted(starts)
+            else:
+                tried += sorted({(row, k, max(begin, s + o)) for s in starts for o in range(-d, d + 1, max(1, d // 4)) if s + o + n > begin and s + o < end})
         ends = first[1:] - 1
-        n = np.array([len(self.texts[k]) for _, k, _ in tried])
-        codes = self.embed([text[s : min(int(ends[row]), s + len(self.texts[k]))] for row, k, s in tried], n)
-        close = (codes == self.codes[[k for _, k, _ in tried]]).any(1)
-        best: dict[tuple[int, int], int] = {}
-        done: dict[tuple[int, int], int] = {}
-        for (row, k, s), c in zip(tried, close.tolist()):
+        if tried:
+            n = np.array([len(self.texts[k]) for _, k, _ in tried])
+            codes = self.embed([text[s : min(int(ends[row]), s + len(self.texts[k]))] for row, k, s in tried], n)
+            for (row, k, s), c in zip(tried, (codes == self.codes[[k for _, k, _ in tried]]).any(1).tolist()):
+                if c:
+                    close.setdefault((row, k), []).append(s)
+        out = []
+        for (row, k), starts in close.items():
             d, t = self.limits[k], self.texts[k]
-            if c and best.get((row, k), 1) and s > done.get((row, k), -1):
-                done[row, k] = s + d
-                best[row, k] = min(best.get((row, k), d + 1), best_edits(t, text[max(int(first[row]), s - d) : min(int(ends[row]), s + 2 * d + len(t))].tobytes(), d))
-        return [(row, self.ids[k], e) for (row, k), e in best.items() if e <= self.limits[k]]
+            # stretches around all these windows, joined where they overlap
+            areas: list[list[int]] = []
+            for s in starts:
+                a, b = max(int(first[row]), s - d), min(int(ends[row]), s + 2 * d + len(t))
+                if areas and a <= areas[-1][1]:
+                    areas[-1][1] = max(b, areas[-1][1])
+                else:
+                    areas.append([a, b])
+            best = d + 1
+            for a, b in areas:
+                best = min(best, best_edits(t, text[a:b].tobytes(), d)) if best else 0
+            if best <= d:
+                out.append((row, self.ids[k], best))
+        return out
 
 
 def indexes(benchmark: DataFrame, p: Params = Params()) -> list[Index]:

@@ -208,6 +208,21 @@ def test_found_items_equal_brute_force(spark):
     assert len({(r["doc_id"], r["item_id"]) for r in passes.collect()} ^ {(i, k) for i, k, _ in got}) <= 0.1 * len(sure)
 
 
+def test_long_items_with_edits_are_found_too():
+    """Beside many short items, copies of 3 kB with edits up to the limit, in context."""
+    rng = random.Random(13)
+    items = [(i, prose(20, rng)) for i in range(60)] + [(100 + i, prose(650, rng)) for i in range(4)]
+    index, found = D.Index(items), 0
+    for i, t in items[60:] * 5:
+        f = D.fold_text(t).decode()
+        raw = f"{prose(30, rng)} {spoiled(f, int(0.05 * len(f)), rng)} {prose(30, rng)}".encode()
+        found += any(k == i for _, k, _ in index.find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+    assert found >= 0.95 * 20
+    for _ in range(40):
+        a, b = spoiled(prose(4, rng), 3, rng), prose(6, rng)
+        assert D.best_edits(a.encode(), b.encode(), 1000) == fewest(a, b)
+
+
 def test_capitals_with_marks_are_the_same_letters():
     item = "Été à l'école où le garçon ÇÀ et là des œuvres naïves, très élevées"
     raw = ("x " + item.upper().replace(" ", "!! ") + " y").encode()
