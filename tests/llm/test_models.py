@@ -132,6 +132,23 @@ def test_scan_equals_brute_force(spark):
     assert S.found(docs.limit(0), m).count() == 0 and S.redacted(spark.createDataFrame([], SCHEMA), m).count() == 0
 
 
+def test_secrets_glued_to_something_ordinary():
+    m, rng, path = S.fit(), random.Random(8), "/home/user/projects/service/config/"
+    for before in (path, path + "modules/authentication/providers/internal/keys", "https_proxy_settings_of_the_service_token="):
+        before = before if before[-1] in "/=" else before + "/"
+        for n, chars in ((20, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), (20, S.ALPHABET[:62]), (32, "0123456789abcdef"), (40, "0123456789abcdef")):
+            whole = 0
+            for after in ("", "/documents/information/overview") * 50:
+                key = "".join(rng.choice(chars) for _ in range(n))
+                raw = np.frombuffer(f"see {before}{key}{after} here".encode(), np.uint8)
+                s, e, _ = S.scan(m, raw, np.array([0, len(raw)]))
+                whole += any(a <= 4 + len(before) and b >= 4 + len(before) + n for a, b in zip(s, e))
+            assert whole >= 97
+    _, ordinary = S.labelled(S.Params(seed=98))
+    raw = np.frombuffer(" ".join(ordinary).encode(), np.uint8)
+    assert len(S.scan(m, raw, np.array([0, len(raw)]))[0]) < 0.01 * len(ordinary)
+
+
 # LM scoring
 
 
