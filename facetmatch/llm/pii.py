@@ -1,6 +1,7 @@
 """Bootstrapped contextual extraction of personal identifiers.
 
-Candidates are runs of neighbouring chunks that hold a digit or @, without outer punctuation. Each has a shape (letters a, up to three digits 9, more digits
+Chunks end at blanks and at , ; | < > " = & and curly or square brackets (not at a comma between digits). Candidates are runs of neighbouring chunks that hold a digit
+or @, without outer punctuation. In a chunk of any length that no validator knows as a whole, what they know inside it is taken instead. Each has a shape (letters a, up to three digits 9, more digits
 with their number, other characters as they are) and induces lexical patterns: its shape with the word before it, with the word after it, and with its own first and last characters.
 
 Strict validators give the seeds: e-mail addresses with a usual ending, dotted addresses of four octets, telephone numbers with a
@@ -33,7 +34,7 @@ class Params:
     rounds: int = 3
     min_pattern: float = 0.3
     min_instance: float = 0.5
-    #: Candidates beyond this many bytes are blobs, not identifiers.
+    #: A chunk beyond this many bytes, without anything known inside it, is taken apart at all punctuation but . @ + - _; pieces still longer are blobs, not identifiers.
     longest: int = 200
 
 
@@ -42,6 +43,16 @@ EMAIL = re.compile(r"[\w.+-]+@[a-z0-9-]+(\.[a-z0-9-]+)*\.(com|org|net|edu|gov|io
 PHONE = re.compile(r"(\+1[ .-]?)?(\([2-9]\d\d\) ?|[2-9]\d\d[.-])[2-9]\d\d[.-]\d{4}")
 CARD = re.compile(r"(?:\d[ -]?){12,18}\d")
 PLAIN = re.compile(r"(1[5-9]|20)\d\d|\d{1,4}([-/.]\d{1,2}){2}|v?\d{1,3}(\.\d{1,3}){0,2}[a-z%]?|\d{1,2}:\d\d(:\d\d)?|\d{1,3}(,\d{3})+|\d{1,5}(st|nd|rd|th)?", re.I)
+#: What validators know, inside a longer text. Cards are looked for at every place, as a right check digit decides.
+INSIDE = (
+    re.compile(rf"(?<![\w.+-])({EMAIL.pattern})(?![\w-]|\.\w)", re.I | re.A),
+    re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\w)"),
+    re.compile(rf"(?<![\w+])({PHONE.pattern})(?!\w)"),
+    re.compile(rf"(?<!\w)(?=({CARD.pattern})(?!\w))"),
+)
+PIECE = re.compile(r"[\w.@+-]+")
+HARD = np.zeros(256, bool)
+HARD[[*range(33), *b',;|<>"=&{}[]']] = True
 
 
 def card_ok(value: str) -> bool:
@@ -73,11 +84,45 @@ def patterns(value: str, left: str, right: str) -> list[str]:
     return [f"L {left} {s}", f"R {s} {right}", f"S {edge(value[0])} {s} {edge(value[-1])}"]
 
 
+def trimmed(text: str) -> tuple[int, int]:
+    """Start and end of text without outer punctuation, as EDGE has it, in time that grows with the length only."""
+    first, last = re.search(r"[\w+(@]", text), re.search(r"[\w)]", text[::-1])
+    return (first.start(), max(first.start(), len(text) - last.start())) if first and last else (0, 0)
+
+
+def inside(text: str, longest: int) -> list[tuple[int, int]]:
+    """Start and end of the candidates in one chunk: the whole, if a validator knows it, else what validators know inside it, else the whole or its pieces."""
+    a, b = trimmed(text)
+    if b - a <= longest and seed_kind(text[a:b]):
+        return [(a, b)]
+    found: list[tuple[int, int]] = []
+    for known in INSIDE:
+        last = 0
+        for m in known.finditer(text):
+            x, y = m.span(1)
+            if x >= last and seed_kind(text[x:y]) not in (None, "plain"):
+                found.append((x, y))
+                last = y
+    found.sort(key=lambda f: (f[0], -f[1]))
+    out: list[tuple[int, int]] = []
+    for f in found:
+        if not out or f[0] >= out[-1][1]:
+            out.append(f)
+    if out:
+        return out
+    if len(text[a:b].encode()) <= longest:
+        return [(a, b)]
+    parts = [(m.start() + x, m.start() + y) for m in PIECE.finditer(text) for x, y in [trimmed(m.group())]]
+    return [(x, y) for x, y in parts if len(text[x:y].encode()) <= longest]
+
+
 def candidates(data: np.ndarray, at: np.ndarray, longest: int) -> Iterator[tuple[int, int, int, str, str, str]]:
     """row, start and end (bytes of the row), value, and the words before and after it."""
     if not len(data):
         return
-    space = data <= 32
+    space = HARD[data]
+    digit = (data >= 48) & (data <= 57)
+    space[1:-1] &= ~((data[1:-1] == 44) & digit[:-2] & digit[2:])
     marked = ((data >= 48) & (data <= 57)) | (data == 64)
     bound = np.zeros(len(data) + 1, bool)
     bound[at] = True
@@ -92,18 +137,21 @@ def candidates(data: np.ndarray, at: np.ndarray, longest: int) -> Iterator[tuple
         return
     row = np.searchsorted(at, s, "right") - 1
     word = lambda i, r: re.sub(r"\W+", "", data[s[i] : min(e[i], s[i] + 64)].tobytes().decode("utf-8", "replace").lower()) if 0 <= i < len(s) and row[i] == r else ""
-    joins = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]) | (s[hit[1:]] != e[hit[:-1]] + 1)]))
+    joins = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]) | (s[hit[1:]] != e[hit[:-1]] + 1) | (data[e[hit[:-1]]] > 32)]))
     for a, b in zip(hit[joins], np.append(hit[joins[1:] - 1], hit[-1])):
-        spans = _spans([data[s[i] : e[i]].tobytes().decode("utf-8", "replace") if e[i] - s[i] <= longest else "" for i in range(a, b + 1)], a) if a < b else [(a, a)]
+        spans = _spans([data[s[i] : e[i]].tobytes().decode("utf-8", "replace") if e[i] - s[i] <= longest else "@" for i in range(a, b + 1)], a) if a < b else [(a, a)]
         for i, j in spans:
-            if e[j] - s[i] > longest:
-                continue
             raw = data[s[i] : e[j]].tobytes().decode("utf-8", "replace")
-            value = EDGE.sub("", raw)
-            if value and any(c.isdigit() or c == "@" for c in value):
-                begin = int(s[i]) + len(raw[: raw.index(value)].encode())
-                r = int(row[i])
-                yield r, begin - int(at[r]), begin - int(at[r]) + len(value.encode()), value, word(i - 1, r), word(j + 1, r)
+            done, at_byte = 0, int(s[i])
+            places = inside(raw, longest) if i == j else [trimmed(raw)]
+            for x, y in places:
+                value = raw[x:y]
+                if value and any(c.isdigit() or c == "@" for c in value):
+                    at_byte += len(raw[done:x].encode())
+                    begin, done, r = at_byte, x, int(row[i])
+                    # the words beside it in the chunk, else the chunks beside it
+                    before, after = re.findall(r"\w+", raw[max(0, x - 64) : x]), re.findall(r"\w+", raw[y : y + 64])
+                    yield r, begin - int(at[r]), begin - int(at[r]) + len(value.encode()), value, before[-1].lower() if before else word(i - 1, r), after[0].lower() if after else word(j + 1, r)
 
 
 def _spans(parts: list[str], at: int) -> list[tuple[int, int]]:

@@ -276,3 +276,18 @@ def test_neighbouring_identifiers_stand_apart():
 def test_a_long_text_without_spaces(spark):
     docs = spark.createDataFrame([(1, "a" * 300_000 + "1" + "b" * 300_000, "x", "s", 1), (2, "x 4111111111111111 y", "x", "s", 1)], SCHEMA)
     assert [r["doc_id"] for r in P.extract(docs).collect()] == [2]
+
+
+def test_identifiers_in_long_and_glued_runs():
+    def found(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        got = [(s, e, v) for _, s, e, v, _, _ in P.candidates(data, np.array([0, len(data)]), P.Params().longest)]
+        assert all(data[s:e].tobytes().decode() == v for s, e, v in got)
+        return [v for _, _, v in got if P.seed_kind(v) not in (None, "plain")]
+
+    assert found("a@b.com,c@d.com") == ["a@b.com", "c@d.com"] and found("ip=1.2.3.4;mail=a@b.com") == ["1.2.3.4", "a@b.com"]
+    assert found("é/1.2.3.4,5.6.7.8:80/x(a@b.com)'4111-1111-1111-1111'tel:222-555-1234/") == ["1.2.3.4", "5.6.7.8", "a@b.com", "4111-1111-1111-1111", "222-555-1234"]
+    row = '{"n":7,"mail":"x.y@mail.example.com","ip":"10.1.2.3","card":"4111111111111111","phone":"+1 (222) 555-1111"}'
+    want = ["x.y@mail.example.com", "10.1.2.3", "4111111111111111", "+1 (222) 555-1111"]
+    assert found(",".join([row] * 50)) == want * 50 and found("<td>é" * 100 + row) == want
+    assert found("z" * 300_000 + "/a@b.com/" + "-" * 300_000 + "1") == ["a@b.com"] and found("1,234,567 v1.2.3.4 12:30") == []
