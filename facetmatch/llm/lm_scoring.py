@@ -9,10 +9,12 @@ No table of counts is gathered anywhere. Texts are cut into pieces; each sends i
 add them up and send the totals back to the piece, which scores its documents. What a task holds is one piece, or one part; the number of parts grows with the tokens.
 
 P(w) = (c(w) + alpha) / (N + alpha (V + 2)); P(w|v) = (c(v,w) + mu P(w)) / (c(v) + mu). A document's score is the mean over its
-tokens of target loss less background loss, in bits: the lower, the more like the target.
+tokens of target loss less background loss, in bits: the lower, the more like the target. Each document is left out of its own score: its counts of words, bigrams
+and tokens are taken off the model that it was counted for, so that a score tells likeness and not membership. Only the row itself is left out: a copy of it is another document,
+which counts where its own label puts it, so that copies of a target document look like the target (deduplicate first where that isn't wanted).
 
 Defined results: texts without a word (null and empty ones too) have one token, the end mark. A document is of the target if any of its labels has quality
-1 and none toxic 1; unlabelled and null-id rows are background. Repeated rows count each, and get equal scores. With no target row the target model is
+1 and none toxic 1; unlabelled and null-id rows and null labels are background. Repeated rows count each, and get equal scores. With no target row (or none but the document itself) the target model is
 uniform. Empty tables give no rows. Texts are read whole, of any length. Further columns are ignored.
 """
 
@@ -156,8 +158,14 @@ def _keys(vocab: np.ndarray, w: np.ndarray, first: np.ndarray, end: np.uint64, b
     return keys, np.argsort(keys, kind="stable"), of
 
 
+def _within(doc: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """How often each x (below n) is seen in its document."""
+    _, at, often = np.unique(doc * n + x, return_inverse=True, return_counts=True)
+    return often[at]
+
+
 def score(rows: DataFrame, models: Models, p: Params = Params()) -> DataFrame:
-    """rows: doc_id, text. By the counts of the models' rows."""
+    """rows: doc_id, text. By the counts of the models' rows; if rows are these themselves, each by the counts of all the others."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     vocabulary, v, total = models.vocabulary, models.words, models.total
     end = END if vocabulary is None else np.uint64(v + 1)
@@ -168,7 +176,7 @@ def score(rows: DataFrame, models: Models, p: Params = Params()) -> DataFrame:
         every = rows.select("doc_id", "text", F.col("target").alias("of"), F.lit(True).alias("give"))
     else:
         every = rows.select("doc_id", "text", F.lit(None).cast("boolean").alias("of"), F.lit(True).alias("give")).union(models.rows.select(F.lit(None).cast(kind), "text", "target", F.lit(False)))
-    schema = f"piece long, part long, n long, keys binary, t binary, b binary, docs array<{kind}>, sizes binary, give binary, vocab binary, w binary"
+    schema = f"piece long, part long, n long, keys binary, t binary, b binary, docs array<{kind}>, sizes binary, role binary, vocab binary, w binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +188,8 @@ def score(rows: DataFrame, models: Models, p: Params = Params()) -> DataFrame:
             known = batch.column(2).is_valid().to_numpy(zero_copy_only=False).astype(bool)
             target = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
             give = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            # of each row: whether it is scored, and counted for target, for background
+            role = (give + 2 * (known & target) + 4 * (known & ~target)).astype(np.uint8)
             for lo, hi, part, offsets in chunks(data, at, p.piece):
                 ids, first = tokens(part, offsets, vocabulary)
                 size = np.diff(first)
@@ -197,7 +207,7 @@ def score(rows: DataFrame, models: Models, p: Params = Params()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([piece] * (len(filled) + 1), pa.int64()), pa.array([*(k for k, _, _ in filled), -1 - piece], pa.int64()), pa.array([*(y - x for _, x, y in filled), len(w)], pa.int64())]
                     + [pa.array([*x, None], pa.binary()) for x in ([_blob(np.diff(keys[x:y], prepend=np.uint64(0))) for _, x, y in filled], [_blob(t[x:y]) for _, x, y in filled], [_blob(b[x:y]) for _, x, y in filled])]
-                    + [docs, *(pa.array([*none, x], pa.binary()) for x in (size.astype(np.int64).tobytes(), give[lo:hi].tobytes(), vocab.tobytes(), _blob(w)))],
+                    + [docs, *(pa.array([*none, x], pa.binary()) for x in (size.astype(np.int64).tobytes(), role[lo:hi].tobytes(), vocab.tobytes(), _blob(w)))],
                     names,
                 )
                 piece += 1
@@ -223,25 +233,33 @@ def score(rows: DataFrame, models: Models, p: Params = Params()) -> DataFrame:
         at, n = int(np.argmin(part)), group["n"].to_numpy()
         last = lambda c: group[c][at].as_py()
         size, vocab = np.frombuffer(last("sizes"), np.int64), np.frombuffer(last("vocab"), np.uint64)
-        give = np.frombuffer(last("give"), bool)
+        role = np.frombuffer(last("role"), np.uint8)
         w = _unblob(last("w"), int(n[at])).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(size)])
         keys, order, of = _keys(vocab, w, first, end, p.bucket_bits)
         before, _ = bigrams(w, first, int(np.flatnonzero(vocab == end)[0]), 1)
         rows = [i for i in np.argsort(part).tolist() if i != at]
+        # how often each token's word, pair and word before are in its own document; the end mark is once
+        doc = np.repeat(np.arange(len(size)), size)
+        own_word, own_pair = _within(doc, w, len(vocab)), _within(doc, of, len(keys) - len(vocab))
+        own_before = np.empty_like(own_word)
+        own_before[1:] = own_word[:-1]
+        own_before[first[:-1]] = 1
         out = []
         for m, c in enumerate("tb"):
             blobs = group[c].to_pylist()
             sums = np.empty(len(keys))
             sums[order] = np.concatenate([_unblob(blobs[i], int(n[i])) for i in rows])
             word, pair = sums[: len(vocab)], sums[len(vocab) :]
-            single = (word + p.alpha) / (total[m] + p.alpha * (v + 2))
-            loss = -np.log2((pair[of] + p.mu * single[w]) / (word[before] + p.mu))
+            mine = (role & (2 << m) > 0).astype(np.int64)  # what is left out
+            left = mine[doc]
+            single = (word[w] - left * own_word + p.alpha) / (total[m] - mine * size + p.alpha * (v + 2))[doc]
+            loss = -np.log2((pair[of] - left * own_pair + p.mu * single) / (word[before] - left * own_before + p.mu))
             out.append(np.add.reduceat(loss, first[:-1]) / size)
         ids = pa.concat_arrays(group["docs"].slice(at, 1).chunks).flatten()
         t, b = out
         done = pa.Table.from_arrays([ids, pa.array(size), pa.array(np.round(t, 6)), pa.array(np.round(b, 6)), pa.array(np.round(t - b, 6))], ["doc_id", "tokens", "loss_target", "loss_background", "difference"])
-        return done.filter(pa.array(give))
+        return done.filter(pa.array(role & 1 > 0))
 
     summed = every.mapInArrow(split, schema).groupBy("part").applyInArrow(add, schema)
     return summed.groupBy("piece").applyInArrow(finish, f"doc_id {kind}, tokens long, loss_target double, loss_background double, difference double")

@@ -1,6 +1,7 @@
 """Language ID, secrets, LM scoring and PII: against brute force, finite differences and held-out accuracy; and the defined results of odd rows."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 
 from facetmatch.llm import language_id as L
 from facetmatch.llm import lm_scoring as LM
+from facetmatch.llm import minhash as M
 from facetmatch.llm import pii as P
 from facetmatch.llm import secrets as S
 from facetmatch.llm.common import words
@@ -153,7 +155,7 @@ def test_secrets_glued_to_something_ordinary():
 
 
 def brute_scores(rows, p):
-    """rows: (id, text, target). The same formulas, word by word in dictionaries."""
+    """rows: (id, text, target). The same formulas, word by word in dictionaries; each row is scored by models counted anew without it."""
     def toks(t):
         raw = np.frombuffer((t or "").encode(), np.uint8)
         return words(raw, np.array([0, len(raw)]))[0].tolist()
@@ -162,18 +164,23 @@ def brute_scores(rows, p):
     signed = lambda w: w - (1 << 64) if w >> 63 else w
     vocab = sorted(sorted(seen, key=lambda w: (-seen[w], signed(w)))[: p.vocabulary])
     ids, v = {w: i for i, w in enumerate(vocab)}, len(vocab)
-    uni, pair = [Counter(), Counter()], [Counter(), Counter()]
+    whole = [Counter(), Counter()], [Counter(), Counter()]
     split = {}
     for n, (_, t, target) in enumerate(rows):
         seq = [ids.get(w, v) for w in toks(t)] + [v + 1]
         split[n] = seq
         for a, b in zip([v + 1, *seq], seq):
             _, k = LM.bigrams(np.array([a, b]), np.array([0, 2]), v + 1, p.bucket_bits)
-            uni[0 if target else 1][b] += 1
-            pair[0 if target else 1][int(k[1])] += 1
+            whole[0][0 if target else 1][b] += 1
+            whole[1][0 if target else 1][int(k[1])] += 1
     out = []
-    for n, (i, _, _) in enumerate(rows):
+    for n, (i, _, target) in enumerate(rows):
         seq, loss = split[n], [0.0, 0.0]
+        uni, pair = ([Counter(c) for c in x] for x in whole)
+        for a, b in zip([v + 1, *seq], seq):
+            _, k = LM.bigrams(np.array([a, b]), np.array([0, 2]), v + 1, p.bucket_bits)
+            uni[0 if target else 1][b] -= 1
+            pair[0 if target else 1][int(k[1])] -= 1
         for m in range(2):
             total = sum(uni[m].values())
             for a, b in zip([v + 1, *seq], seq):
@@ -204,7 +211,7 @@ def test_targets_and_odd_rows(spark):
 
 
 def test_every_word_and_bigram_has_its_own_count(spark):
-    """200,000 words, each seen once: none is <unk>, and no two bigrams share a count. The losses in closed form."""
+    """200,000 words, each seen once: none is <unk>, and no two bigrams share a count. The losses in closed form, for rows that the models haven't seen, and for rows left out of them."""
     p, per = LM.Params(), 2000
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(per)), False) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
@@ -212,10 +219,41 @@ def test_every_word_and_bigram_has_its_own_count(spark):
     low = v + d + p.alpha * (v + 2)
     word, end = (1 + p.alpha) / low, (d + p.alpha) / low
     each = [math.log2((1 + p.mu * word) / (d + p.mu)), *[math.log2((1 + p.mu * word) / (1 + p.mu))] * (per - 1), math.log2((1 + p.mu * end) / (1 + p.mu))]
-    got = LM.score(df, LM.fit(df, p), p).collect()
-    assert sorted(r["doc_id"] for r in got) == [*range(100)] and all(r["tokens"] == per + 1 and abs(r["loss_background"] + sum(each) / (per + 1)) < 1e-5 for r in got)
     other = spark.createDataFrame([(7, rows[0][1], True)], "doc_id long, text string, target boolean")
-    assert [(r["doc_id"], r["loss_background"]) for r in LM.score(other, LM.fit(df, p), p).collect()] == [(7, next(r["loss_background"] for r in got if r["doc_id"] == 0))]
+    (r,) = LM.score(other, LM.fit(df, p), p).collect()
+    assert r["doc_id"] == 7 and r["tokens"] == per + 1 and abs(r["loss_background"] + sum(each) / (per + 1)) < 1e-5
+    low -= per + 1
+    word, end = p.alpha / low, (d - 1 + p.alpha) / low
+    each = [math.log2(p.mu * word / (d - 1 + p.mu)), *[math.log2(word)] * (per - 1), math.log2(end)]
+    got = LM.score(df, LM.fit(df, p), p).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(100)] and all(abs(r["loss_background"] + sum(each) / (per + 1)) < 1e-5 for r in got)
+
+
+def chance(scores):
+    """scores: (difference, label). The gap between the mean differences, and by how many standard deviations the lowest quarter's share of labels is off chance."""
+    scores = sorted(scores)
+    means = [np.mean([d for d, l in scores if l == x]) for x in (True, False)]
+    low, share = scores[: len(scores) // 4], np.mean([l for _, l in scores])
+    return means[0] - means[1], (np.mean([l for _, l in low]) - share) / math.sqrt(share * (1 - share) / len(low))
+
+
+def test_scores_tell_nothing_of_random_labels(spark):
+    rng = random.Random(31)
+    rows = [(i, prose("xx", rng.randint(30, 300), rng), rng.random() < 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
+    label = {i: t for i, _, t in rows}
+    gap, off = chance([(r["difference"], label[r["doc_id"]]) for r in LM.score(df, LM.fit(df)).collect()])
+    assert abs(gap) < 0.1 and abs(off) < 4
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="needs the given tables")
+def test_scores_of_documents_tell_nothing_of_random_labels(spark):
+    """Copies aside: a copy is like what it copies, whatever their labels."""
+    docs = M.deduplicated(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("length(text) > 200").cache()
+    labels = docs.selectExpr("doc_id", "cast(xxhash64(doc_id) % 2 = 0 as int) AS quality", "0 AS toxic").where("quality = 1")
+    chosen = {r[0] for r in labels.collect()}
+    gap, off = chance([(r["difference"], r["doc_id"] in chosen) for r in LM.cross_entropy_difference(docs, labels).collect()])
+    assert abs(gap) < 0.1 and abs(off) < 4
 
 
 # PII
