@@ -3,18 +3,23 @@
 Texts are folded first (letters of ASCII and Latin-1 in lower case; each run of other ASCII bytes than letters and digits is one space). An item of
 n folded bytes is found in a document if some stretch of it is within floor(max_edits * n) edits (Levenshtein) of the item.
 
-The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) maps a string to 3n symbols: at each step it writes the current byte, and a
+The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) maps a string to twice its length of symbols: at each step it writes the current byte, and a
 random bit of (step, byte) says whether it moves on. A few edits then change few positions, so that the Hamming distance bounds the
-edit distance, and hashes of sampled positions collide for near strings. Each round draws a new walk and new positions. The rounds are found
-for each class of lengths (from one power of two to the next), from the items themselves, edited at random to the limit: as many as the item with the
-lowest collision rate needs for `recall`. Long items collide too rarely; where `most_rounds` don't reach `recall`, the class isn't embedded, and all its windows are verified.
+edit distance, and hashes of sampled positions collide for near strings. Each round draws a new walk and new positions.
 
-Windows are as long as the item. They are placed by pigeonhole: a stretch within d edits holds one of d + 1 equal pieces of the item
+The collision rate falls with the number of edits, so items from twice `block` bytes on are embedded block by block (of `block` to twice as many bytes): of m blocks at least one
+holds no more than 1/m of the edits. There are as many rounds as the block with the lowest collision rate needs for `recall`, found by editing blocks at random to their
+limit (at most `measured` blocks of each number of edits, drawn by seed; a bound on what is measured, not on rounds or items). Nothing depends on an item's length but its own exact check.
+
+Windows are as long as the block. They are placed by pigeonhole: a block within d edits holds one of its d + 1 equal pieces
 unchanged, at most d bytes from its place; so only windows around such a piece are embedded, and no other window could pass the exact check.
-Windows that collide in any round, or aren't embedded, are verified with the exact edit distance.
+Windows that collide in any round are verified with the exact edit distance of the whole item. Items too short for an edit (below 1 / `max_edits` bytes) are found where
+they stand exactly, as whole words.
+
+The benchmark is read in passes of bounded size; each is broadcast to the tasks once.
 
-Defined results: null and empty texts and items match nothing, as do items that fold to fewer than `min_item` bytes. Repeated rows are
-each judged, repeated items each reported. Texts of any length are read whole. Empty tables give no rows. Further columns are ignored.
+Defined results: null and empty texts and items match nothing, as do items without a letter or digit and rows with a null item_id. Repeated rows are
+each judged, repeated items each reported; ids are of any type. Texts and items of any length are read whole. Empty tables give no rows. Further columns are ignored, or kept by clean().
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetmatch.llm.common import chunks, map_rows, mix, pick, small_letters, utf8
+from pyspark.sql.pandas.types import to_arrow_type
+
+from facetmatch.llm.common import checkpoint, chunks, map_rows, mix, pick, small_letters, utf8
 
 FOLDED = np.full(256, 32, np.uint8)
 FOLDED[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
@@ -38,17 +45,17 @@ BETWEEN = 10
 @dataclass(frozen=True)
 class Params:
     max_edits: float = 0.05
-    min_item: int = 40
-    samples: int = 5
+    samples: int = 4
     recall: float = 0.99
-    most_rounds: int = 64
-    #: Items from this many bytes on aren't embedded, as no rounds are enough.
-    long_item: int = 1 << 11
-    #: Edited copies of an item that the rounds are found by.
+    block: int = 64
+    #: Edited copies of each measured block, and rounds that its rate is taken from.
     trials: int = 6
+    tests: int = 64
+    measured: int = 512
     seed: int = 5
-    #: Items a pass: a larger benchmark takes several passes over the documents.
+    #: A larger benchmark takes several passes over the documents, each of about so many items and bytes.
     items_per_pass: int = 20_000
+    bytes_per_pass: int = 1 << 25
 
 
 def fold(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,76 +120,85 @@ def walk(x: np.ndarray, bits: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.n
 class Index:
     """What is made of the items once, to be sent to the executors."""
 
-    def __init__(self, items: list[tuple[int, str]], p: Params = Params()):
+    def __init__(self, items: list[tuple], p: Params = Params()):
         self.p = p
         known = [(i, fold_text(t)) for i, t in items if t]
-        known = [(i, t) for i, t in known if len(t) >= p.min_item]
+        known = [(i, t) for i, t in known if t]
         self.ids, self.texts = [i for i, _ in known], [t for _, t in known]
         self.limits = [int(p.max_edits * len(t)) for t in self.texts]
+        # blocks: item, place in it, bytes, edits
+        self.item, self.offset, self.blocks, self.most = [], [], [], []
         pieces = []
         for k, (t, d) in enumerate(zip(self.texts, self.limits)):
-            cuts = np.linspace(0, len(t), d + 2).astype(int)
-            pieces += [(t[a:b], k, int(a)) for a, b in zip(cuts, cuts[1:])]
-        self.gram = min((len(x) for x, _, _ in pieces), default=8)
-        keys = np.array([self.hash(np.frombuffer(x, np.uint8))[0] for x, _, _ in pieces], np.uint64)
+            m = max(1, len(t) // p.block)
+            cuts = np.linspace(0, len(t), m + 1).astype(int).tolist()
+            for a, b in zip(cuts, cuts[1:]) if d else ():
+                inner = np.linspace(0, b - a, d // m + 2).astype(int).tolist()
+                pieces += [(t[a + x : a + y], len(self.blocks), x) for x, y in zip(inner, inner[1:])]
+                self.item.append(k)
+                self.offset.append(a)
+                self.blocks.append(t[a:b])
+                self.most.append(d // m)
+        self.gram = min((len(x) for x, _, _ in pieces), default=0)
+        keys = np.array([hashes(np.frombuffer(x[: self.gram], np.uint8), self.gram)[0] for x, _, _ in pieces], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.of, self.place = keys[order], np.array([k for _, k, _ in pieces], np.int64)[order], np.array([a for _, _, a in pieces], np.int64)[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.rounds, self.exact = self._rounds()
+        self.sieve = sieve(self.keys)
+        self.short = self._short()
+        self.size = np.array([len(b) for b in self.blocks], np.int64)
+        self._draw(p.tests)
+        self.rounds = self._rounds()
         self._draw(self.rounds)
-        embedded = [k for k in range(len(self.texts)) if not self.exact[k]]
-        self.codes = np.zeros((len(self.texts), self.rounds), np.uint64)
-        self.codes[embedded] = self.embed([self.texts[k] for k in embedded], np.array([len(self.texts[k]) for k in embedded], np.int64))
-
-    def hash(self, x: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each stretch of self.gram bytes, by doubling: stretches of powers of two, the last two overlapping."""
-        h, n = x.astype(np.uint64) + np.uint64(1), 1
-        while 2 * n <= self.gram:
-            h, n = h[:-n] * np.uint64(0x9E3779B97F4A7C15) + (h[n:] ^ (h[n:] >> np.uint64(29))), 2 * n
-        if n < self.gram:
-            h = h[: len(h) - (self.gram - n)] * np.uint64(0xD1B54A32D192ED03) + h[self.gram - n :]
-        return mix(h)
+        self.codes = self.embed(self.blocks, self.size)
+
+    def _short(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length of the items without an edit: the length, sorted hashes, items, sieve."""
+        by: dict[int, list[int]] = {}
+        for k, (t, d) in enumerate(zip(self.texts, self.limits)):
+            if not d:
+                by.setdefault(len(t), []).append(k)
+        out = []
+        for n, members in sorted(by.items()):
+            keys = np.array([hashes(np.frombuffer(self.texts[k], np.uint8), n)[0] for k in members], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            out.append((n, keys[order], np.array(members)[order], sieve(keys)))
+        return out
 
     def _draw(self, rounds: int) -> None:
-        rng, longest = np.random.default_rng(self.p.seed), max((len(t) for t, e in zip(self.texts, self.exact) if not e), default=1)
-        self.bits = rng.integers(0, 2, (self.p.most_rounds, 2 * longest, 256), np.uint8)[:rounds]
-        self.at = np.random.default_rng(self.p.seed + 1).random((self.p.most_rounds, self.p.samples))[:rounds]
+        """The walks' bits and the sampled positions of so many rounds."""
+        longest = int(self.size.max(initial=1))
+        self.bits = np.random.default_rng(self.p.seed).integers(0, 2, (rounds, 2 * longest, 256), np.uint8)
+        self.at = np.random.default_rng(self.p.seed + 1).random((rounds, self.p.samples))
 
-    def _rounds(self) -> tuple[int, list[bool]]:
-        """From random edits to the limit, made to items of each class of lengths: how often codes stay equal in one round, and from it the rounds for the
-        recall wanted; and of each item, whether its class doesn't reach it."""
+    def _rounds(self) -> int:
+        """How many rounds the block needs that collides least, of all numbers of edits."""
         rng, p = np.random.default_rng(self.p.seed), self.p
-        classes: dict[int, list[int]] = {}
-        for k, t in enumerate(self.texts):
-            classes.setdefault(len(t).bit_length(), []).append(k)
-        rounds, exact = 1, [len(t) >= p.long_item for t in self.texts]
-        self.exact = exact
-        self._draw(p.most_rounds)
-        for members in classes.values():
-            members = [k for k in members if not exact[k]]
-            if not members:
-                continue
-            take = np.repeat(rng.permutation(members)[:48], p.trials).tolist()
-            edited = [self._edited(k, rng) for k in take]
-            n = np.array([len(self.texts[k]) for k in take])
-            rate = (self.embed([self.texts[k] for k in take], n) == self.embed(edited, n)).mean(1)
-            need = next((r for r in range(1, p.most_rounds + 1) if (1 - (1 - rate) ** r).reshape(-1, p.trials).mean(1).min() >= p.recall), None)
-            rounds = max(rounds, need or 1)
-            for k in members:
-                exact[k] = need is None
-        return rounds, exact
-
-    def _edited(self, k: int, rng: np.random.Generator) -> bytes:
-        t = bytearray(self.texts[k])
-        for _ in range(self.limits[k]):
+        by: dict[int, list[int]] = {}
+        for b, d in enumerate(self.most):
+            if d:
+                by.setdefault(d, []).append(b)
+        rounds = 1
+        for members in by.values():
+            take = np.repeat(rng.permutation(members)[: p.measured], p.trials).tolist()
+            n = self.size[take]
+            same = self.embed([self.blocks[b] for b in take], n) == self.embed([self._edited(b, rng) for b in take], n)
+            rate = (same.sum(1) + 0.5) / (p.tests + 1)
+            least = lambda r: (1 - (1 - rate) ** r).reshape(-1, p.trials).mean(1).min()  # noqa: B023, E731
+            while least(rounds) < p.recall:
+                rounds += 1
+        return rounds
+
+    def _edited(self, b: int, rng: np.random.Generator) -> bytes:
+        """The block with edits to its limit, and with what follows it, as a window would hold it."""
+        t = bytearray(self.blocks[b])
+        for _ in range(self.most[b]):
             j = int(rng.integers(0, max(1, len(t))))
             kind = rng.integers(0, 3)
             if kind < 2:
                 del t[j : j + 1]
             if kind > 0:
                 t[j:j] = bytes([int(rng.integers(97, 123))])
-        return bytes(t)
+        return bytes(t) + bytes(rng.integers(97, 123, max(0, len(self.blocks[b]) - len(t)), np.uint8))
 
     def embed(self, windows: list, n: np.ndarray) -> np.ndarray:
         """Windows by rounds: the code of each window, which is read as one of n bytes."""
@@ -196,45 +212,39 @@ class Index:
             out[lo : lo + 256] = walk(x, self.bits, self.at, m)
         return out
 
-    def find(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    def find(self, data: np.ndarray, at: np.ndarray) -> list[tuple]:
         """(row, item's id, fewest edits) of rows of bytes."""
-        if not self.texts or len(data) < self.gram:
-            return []
         text, first = fold(data, at)
-        if len(text) < self.gram:
-            return []
-        h = self.hash(text)
-        hits = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.keys, h[hits], "left"), np.searchsorted(self.keys, h[hits], "right")
-        hits, lo, hi = hits[hi > lo], lo[hi > lo], hi[hi > lo]
+        out = self._exactly(text, first)
+        if not self.blocks or len(text) < self.gram:
+            return out
         windows: dict[tuple[int, int], set[int]] = {}
-        for pos, a, b in zip(hits.tolist(), lo.tolist(), hi.tolist()):
+        for pos, lo, hi in zip(*matches(hashes(text, self.gram), self.keys, self.sieve)):
             row = int(np.searchsorted(first, pos, "right")) - 1
-            for j in range(a, b):
+            for j in range(lo, hi):
                 windows.setdefault((row, int(self.of[j])), set()).add(pos - int(self.place[j]))
-        tried: list[tuple[int, int, int]] = []
-        close: dict[tuple[int, int], list[int]] = {}
-        for (row, k), starts in windows.items():
-            n, d = len(self.texts[k]), self.limits[k]
-            begin, end = int(first[row]), int(first[row + 1]) - 1
-            if self.exact[k]:
-                close[row, k] = sorted(starts)
-            else:
-                tried += sorted({(row, k, max(begin, s + o)) for s in starts for o in range(-d, d + 1, max(1, d // 4)) if s + o + n > begin and s + o < end})
         ends = first[1:] - 1
-        if tried:
-            n = np.array([len(self.texts[k]) for _, k, _ in tried])
-            codes = self.embed([text[s : min(int(ends[row]), s + len(self.texts[k]))] for row, k, s in tried], n)
-            for (row, k, s), c in zip(tried, (codes == self.codes[[k for _, k, _ in tried]]).any(1).tolist()):
-                if c:
-                    close.setdefault((row, k), []).append(s)
-        out = []
+        close: dict[tuple[int, int], list[int]] = {}
+
+        def collide(tried: list[tuple[int, int, int]]) -> None:
+            """Notes where the item of a window that collides would begin."""
+            tried = [x for x in tried if first[x[0]] <= x[2] < ends[x[0]]]
+            if tried:
+                of = np.array([b for _, b, _ in tried])
+                codes = self.embed([text[s : min(int(ends[row]), s + len(self.blocks[b]))] for row, b, s in tried], self.size[of])
+                for (row, b, s), c in zip(tried, (codes == self.codes[of]).any(1).tolist()):
+                    if c:
+                        close.setdefault((row, self.item[b]), []).append(s - self.offset[b])
+
+        collide([(row, b, s) for (row, b), starts in windows.items() for s in starts])
+        # what an unshifted window found needs no other one
+        collide(sorted({(row, b, s + o) for (row, b), starts in windows.items() if (row, self.item[b]) not in close for s in starts for o in range(-self.most[b], self.most[b] + 1) if o}))
         for (row, k), starts in close.items():
             d, t = self.limits[k], self.texts[k]
-            # stretches around all these windows, joined where they overlap
+            # stretches around all these places, joined where they overlap
             areas: list[list[int]] = []
-            for s in starts:
-                a, b = max(int(first[row]), s - d), min(int(ends[row]), s + 2 * d + len(t))
+            for s in sorted(starts):
+                a, b = max(int(first[row]), s - 2 * d), min(int(ends[row]), s + 3 * d + len(t))
                 if areas and a <= areas[-1][1]:
                     areas[-1][1] = max(b, areas[-1][1])
                 else:
@@ -246,28 +256,79 @@ class Index:
                 out.append((row, self.ids[k], best))
         return out
 
+    def _exactly(self, text: np.ndarray, first: np.ndarray) -> list[tuple]:
+        """Items without an edit, as whole words."""
+        seen: set[tuple[int, int]] = set()
+        edge = lambda c: c in (32, BETWEEN)
+        for n, keys, items, mesh in self.short:
+            for pos, lo, hi in zip(*matches(hashes(text, n), keys, mesh)):
+                if (not pos or edge(text[pos - 1])) and edge(text[pos + n]):
+                    raw, row = text[pos : pos + n].tobytes(), int(np.searchsorted(first, pos, "right")) - 1
+                    seen |= {(row, k) for k in items[lo:hi].tolist() if self.texts[k] == raw}
+        return [(row, self.ids[k], 0) for row, k in sorted(seen)]
+
+
+def hashes(x: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of each stretch of gram bytes, by doubling: stretches of powers of two, the last two overlapping."""
+    if len(x) < gram:
+        return np.zeros(0, np.uint64)
+    h, n = x.astype(np.uint64) + np.uint64(1), 1
+    while 2 * n <= gram:
+        h, n = h[:-n] * np.uint64(0x9E3779B97F4A7C15) + (h[n:] ^ (h[n:] >> np.uint64(29))), 2 * n
+    if n < gram:
+        h = h[: len(h) - (gram - n)] * np.uint64(0xD1B54A32D192ED03) + h[gram - n :]
+    return mix(h)
+
+
+def sieve(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 20, bool)
+    out[(keys >> np.uint64(44)).astype(np.int64)] = True
+    return out
+
+
+def matches(h: np.ndarray, keys: np.ndarray, mesh: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Where a hash is among the sorted keys, and which of them, from and to."""
+    hits = np.flatnonzero(mesh[(h >> np.uint64(44)).astype(np.int64)])
+    lo, hi = np.searchsorted(keys, h[hits], "left"), np.searchsorted(keys, h[hits], "right")
+    good = hi > lo
+    return hits[good].tolist(), lo[good].tolist(), hi[good].tolist()
 
-def indexes(benchmark: DataFrame, p: Params = Params()) -> list[Index]:
-    """The benchmark, held on the driver, in passes of items_per_pass."""
-    rows = pick(benchmark, "item_id", "text").where("item_id is not null and length(text) > 0").orderBy("item_id", "text").collect()
-    return [Index([tuple(r) for r in rows[lo : lo + p.items_per_pass]], p) for lo in range(0, len(rows), p.items_per_pass)]
+
+def passes(benchmark: DataFrame, p: Params = Params()) -> list[DataFrame]:
+    """The benchmark's rows with an item, parted by hash into parts of about items_per_pass and bytes_per_pass."""
+    rows = pick(benchmark, "item_id", "text").where("item_id is not null and length(text) > 0")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    n = max(-(-size["n"] // p.items_per_pass), -(-size["b"] // p.bytes_per_pass))
+    return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
+
+
+def index(rows: DataFrame, p: Params = Params()):
+    """The index of one pass, broadcast."""
+    return rows.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows.orderBy("item_id", "text").collect()], p))
 
 
 def found(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """A row for each document and item in it: doc_id, item_id, edits (the fewest)."""
-    kind = pick(docs, "doc_id").schema[0].dataType.simpleString()
-    out = None
-    for index in indexes(benchmark, p) or [Index([], p)]:
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    kinds = [pick(docs, "doc_id").schema[0].dataType, pick(benchmark, "item_id").schema[0].dataType]
+    of = to_arrow_type(kinds[1])
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, edits int"
+    parts = passes(benchmark, p)
+    out = docs.sparkSession.createDataFrame([], schema) if not parts else None
+    for rows in parts:
+        shared = index(rows, p)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, at = utf8(batch.column(1))
                 for lo, hi, part, offsets in chunks(data, at):
-                    if hit := index.find(part, offsets):
+                    if hit := shared.value.find(part, offsets):
                         r, i, e = zip(*hit)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array(i, pa.int64()), pa.array(e, pa.int32())], ["doc_id", "item_id", "edits"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array(i, of), pa.array(e, pa.int32())], ["doc_id", "item_id", "edits"])
 
-        part = pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits int")
+        part = pick(docs, "doc_id", "text").mapInArrow(run, schema)
+        if len(parts) > 1:
+            part = checkpoint(part)
+            shared.destroy()
         out = part if out is None else out.union(part)
     return out
 
@@ -275,15 +336,20 @@ def found(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFr
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
     at = docs.columns.index("text")
-    for index in indexes(benchmark, p):
+    parts = passes(benchmark, p)
+    for rows in parts:
+        shared = index(rows, p)
 
-        def keep(batch: pa.RecordBatch, index: Index = index) -> pa.RecordBatch:
+        def keep(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             good = np.ones(batch.num_rows, bool)
             data, offsets = utf8(batch.column(at))
             for lo, hi, part, inner in chunks(data, offsets):
-                for row, _, _ in index.find(part, inner):
+                for row, _, _ in shared.value.find(part, inner):
                     good[lo + row] = False
             return batch.filter(pa.array(good))
 
         docs = map_rows(docs, keep)
+        if len(parts) > 1:
+            docs = checkpoint(docs)
+            shared.destroy()
     return docs

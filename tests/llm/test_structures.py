@@ -13,7 +13,7 @@ from facetmatch.llm import minhash as M
 from facetmatch.llm import packing as K
 from facetmatch.llm import sharding as H
 from facetmatch.llm import topk as T
-from facetmatch.llm.common import words
+from facetmatch.llm.common import pick, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in ("ba", "ke", "lo", "mi", "tu") for b in ("r", "n", "st") for c in ("a", "e", "ing", "on")]
@@ -178,21 +178,21 @@ def spoiled(t, n, rng):
 
 def test_found_items_equal_brute_force(spark):
     rng = random.Random(6)
-    items = [(i, prose(rng.randint(10, 30), rng)) for i in range(20)] + [(50, None), (51, ""), (52, "short"), (53, "é" * 30 + " " + prose(8, rng))]
+    items = [(i, prose(rng.randint(10, 30), rng)) for i in range(20)] + [(50, None), (51, ""), (52, "...!"), (54, "Xyz qux"), (53, "é" * 30 + " " + prose(8, rng))]
     rows = []
     for i in range(60):
-        k, t = items[rng.choice([*range(20), 23])]
+        k, t = items[rng.choice([*range(20), 24])]
         n = [0, int(0.02 * len(t)), int(0.05 * len(t)), int(0.05 * len(t)) + 1, int(0.12 * len(t)) + 2][i % 5]
         rows.append((i, f"{prose(8, rng)} {spoiled(t, n, rng).upper() if i % 7 == 0 else spoiled(t, n, rng)}\n{prose(8, rng)}"))
-    rows += [(100 + i, prose(30, rng)) for i in range(20)] + [(200, None), (201, ""), (202, "x"), (203, prose(5000, rng) + " " + items[3][1] + " " + prose(5000, rng)), (3, rows[3][1])]
+    rows += [(100 + i, prose(30, rng)) for i in range(20)] + [(200, None), (201, ""), (202, "x"), (204, "and xyz, Qux!"), (205, "vxyz qux and xyz quxes xyz"), (203, prose(5000, rng) + " " + items[3][1] + " " + prose(5000, rng)), (3, rows[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS Item_Id_", "2 AS TEXT")
     p = D.Params()
     want = set()
     for i, t in rows:
         for k, x in items:
             f = D.fold_text(x) if x else b""
-            if t and len(f) >= p.min_item and i != 203:
-                e = fewest(f, D.fold_text(t))
+            if f and t and i != 203:
+                e = fewest(f, D.fold_text(t)) if len(f) >= 20 else 9 * (b" " + f + b" " not in b" " + D.fold_text(t) + b" ")
                 if e <= int(p.max_edits * len(f)):
                     want.add((i, k, e))
     got = Counter((r["doc_id"], r["item_id"], r["edits"]) for r in D.found(clash(docs_of(spark, rows)), bench).collect())
@@ -204,20 +204,47 @@ def test_found_items_equal_brute_force(spark):
     left = D.clean(docs_of(spark, rows), bench)
     assert sorted(r[0] for r in left.collect()) == sorted(i for i, _ in rows if i not in {i for i, _ in found} | {203})
     assert D.found(docs_of(spark, []), bench).count() == 0 and D.found(docs_of(spark, rows), bench.limit(0)).count() == 0 and D.clean(docs_of(spark, rows), bench.limit(0)).count() == len(rows)
-    passes = D.found(docs_of(spark, rows), bench, D.Params(items_per_pass=7))
-    assert len({(r["doc_id"], r["item_id"]) for r in passes.collect()} ^ {(i, k) for i, k, _ in got}) <= 0.1 * len(sure)
-
-
-def test_long_items_with_edits_are_found_too():
-    """Beside many short items, copies of 3 kB with edits up to the limit, in context."""
-    rng = random.Random(13)
-    items = [(i, prose(20, rng)) for i in range(60)] + [(100 + i, prose(650, rng)) for i in range(4)]
-    index, found = D.Index(items), 0
-    for i, t in items[60:] * 5:
+    named = pick(bench, "item_id", "text").selectExpr("concat('i', item_id) AS item_id", "text")
+    passes = D.found(docs_of(spark, rows).selectExpr("concat('d', doc_id) AS doc_id", "text"), named, D.Params(items_per_pass=7))
+    assert len({(r["doc_id"], r["item_id"]) for r in passes.collect()} ^ {(f"d{i}", f"i{k}") for i, k, _ in got}) <= 0.1 * len(sure)
+    assert {r[0] for r in D.clean(docs_of(spark, rows), named, D.Params(bytes_per_pass=1500)).collect()} >= {r[0] for r in left.collect()}
+    twice = D.found(docs_of(spark, [(1, "xyz qux")]), pick(bench, "item_id", "text").union(pick(bench, "item_id", "text"))).collect()
+    assert [tuple(r) for r in twice] == [(1, 54, 0)] * 2
+
+
+@pytest.mark.parametrize("size, copies", [(20, 400), (60, 400), (200, 400), (2000, 150), (20_000, 40)])
+def test_recall_at_the_limit_by_length(size, copies):
+    """Copies with as many edits as are allowed, in context, beside items of other lengths."""
+    rng = random.Random(size)
+    items = [(i, prose(rng.choice([4, 20, 70]), rng)) for i in range(30)] + [(100 + i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(size - 2)) + "qq") for i in range(20)]
+    items = [(i, t) for i, t in items if i < 100 or len(D.fold_text(t)) > 0.8 * size]
+    index, found, tried = D.Index(items), 0, 0
+    for n in range(copies):
+        i, t = items[30 + n % (len(items) - 30)]
         f = D.fold_text(t).decode()
         raw = f"{prose(30, rng)} {spoiled(f, int(0.05 * len(f)), rng)} {prose(30, rng)}".encode()
         found += any(k == i for _, k, _ in index.find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
-    assert found >= 0.95 * 20
+        tried += 1
+    assert found >= 0.99 * tried
+
+
+def test_memory_is_free_of_the_items_length():
+    import tracemalloc
+
+    rng = random.Random(14)
+    item = prose(18_000, rng)
+    f = D.fold_text(item).decode()
+    assert len(f) > 90_000
+    raw = f"{prose(30, rng)} {spoiled(f, 50, rng)} {prose(30, rng)}".encode()
+    tracemalloc.start()
+    got = D.Index([(1, item), (2, prose(20, rng))]).find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r, i) for r, i, e in got if 0 < e <= 50] == [(0, 1)] and peak < 500e6
+
+
+def test_edits_equal_the_plain_table():
+    rng = random.Random(13)
     for _ in range(40):
         a, b = spoiled(prose(4, rng), 3, rng), prose(6, rng)
         assert D.best_edits(a.encode(), b.encode(), 1000) == fewest(a, b)
