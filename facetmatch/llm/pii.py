@@ -1,20 +1,25 @@
 """Bootstrapped contextual extraction of personal identifiers.
 
 Chunks end at blanks and at , ; | < > " = & and curly or square brackets (not at a comma between digits). Candidates are runs of neighbouring chunks that hold a digit
-or @, without outer punctuation. In a chunk of any length that no validator knows as a whole, what they know inside it is taken instead. Each has a shape (letters a, up to three digits 9, more digits
-with their number, other characters as they are) and induces lexical patterns: its shape with the word before it, with the word after it, and with its own first and last characters.
+or @, without outer punctuation. In a chunk that no validator knows as a whole, what they know inside it is taken instead; else the whole, and, of chunks beyond `blob` bytes, also their
+parts between all punctuation but . @ + - _. Each has a shape (letters a, up to three digits 9, more digits
+with their number, other characters as they are) and induces lexical patterns: its shape with the word before it, with the word after it (these two are its contexts, where there is such a word),
+and with its own first and last characters.
 
 Strict validators give the seeds: e-mail addresses with a usual ending, dotted addresses of four octets, telephone numbers with a
 possible area code, card numbers with a right check digit; and, as what is not personal, years, dates, versions and small numbers. Patterns and instances then score each other on their graph:
-a pattern's confidence for a kind is its instances' share, pos / (pos + neg + `prior`), where pos sums their confidences in that kind and neg in all others; an instance's
-is that no pattern of it errs, 1 - prod(1 - confidence). Only patterns of at least `min_pattern` count. After `rounds` rounds, instances of at least `min_instance` are given with their best kind.
+a pattern's confidence for a kind is pos / (n + `prior`), where pos sums its instances' confidences in that kind and n counts all its distinct instances, so that unknown ones weigh against it like
+those of another kind; an instance's is that no pattern of it errs, 1 - prod(1 - confidence). Only patterns of at least `min_pattern` count. Shape patterns count seeds alone, so that they don't
+confirm themselves, and an instance without a context pattern of its kind has it only if its shape pattern alone has `min_instance`: if at least half of all distinct values of that shape are
+seeds of the kind (a check digit is right by chance in a tenth). After `rounds` rounds, instances of at least `min_instance` are given with their best kind; seeds always.
 
-Defined results: null and empty texts have no candidates; texts are read whole, of any length. Repeated rows repeat their results, and count once in the graph, which is of
-distinct values. Ties between kinds go to the first by name. Empty tables give no rows. Further columns are ignored.
+Defined results: null and empty texts have no candidates; texts and identifiers are read whole, of any length (in the graph, values, shapes and words beyond 64 characters go by a digest of the whole). Repeated rows repeat their results,
+and count once in the graph, which is of distinct values; so do repeated values. Ties between kinds go to the first by name. Rows with a null id keep it. Empty tables give no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +39,8 @@ class Params:
     rounds: int = 3
     min_pattern: float = 0.3
     min_instance: float = 0.5
-    #: A chunk beyond this many bytes, without anything known inside it, is taken apart at all punctuation but . @ + - _; pieces still longer are blobs, not identifiers.
-    longest: int = 200
+    #: A chunk beyond this many bytes, without anything known inside it, is also taken apart at all punctuation but . @ + - _.
+    blob: int = 200
 
 
 EDGE = re.compile(r"^[^\w+(@]+|[^\w)]+$")
@@ -50,6 +55,7 @@ INSIDE = (
     re.compile(rf"(?<![\w+])({PHONE.pattern})(?!\w)"),
     re.compile(rf"(?<!\w)(?=({CARD.pattern})(?!\w))"),
 )
+WORD = re.compile(r"\w+")
 PIECE = re.compile(r"[\w.@+-]+")
 HARD = np.zeros(256, bool)
 HARD[[*range(33), *b',;|<>"=&{}[]']] = True
@@ -78,10 +84,16 @@ def shape(value: str) -> str:
     return re.sub(r"\d+", lambda m: "9" if len(m.group()) <= 3 else f"9{{{len(m.group())}}}", letters)
 
 
+def brief(text: str) -> str:
+    """text, or beyond 64 characters a digest of it."""
+    return text if len(text) <= 64 else "#" + hashlib.md5(text.encode()).hexdigest()
+
+
 def patterns(value: str, left: str, right: str) -> list[str]:
-    s = shape(value)
+    """L and R: by context; S: by shape alone."""
+    s = brief(shape(value))
     edge = lambda c: c if not c.isalnum() else "9" if c.isdigit() else "a"
-    return [f"L {left} {s}", f"R {s} {right}", f"S {edge(value[0])} {s} {edge(value[-1])}"]
+    return [f"L {brief(left)} {s}"] * bool(left) + [f"R {s} {brief(right)}"] * bool(right) + [f"S {edge(value[0])} {s} {edge(value[-1])}"]
 
 
 def trimmed(text: str) -> tuple[int, int]:
@@ -90,10 +102,21 @@ def trimmed(text: str) -> tuple[int, int]:
     return (first.start(), max(first.start(), len(text) - last.start())) if first and last else (0, 0)
 
 
-def inside(text: str, longest: int) -> list[tuple[int, int]]:
-    """Start and end of the candidates in one chunk: the whole, if a validator knows it, else what validators know inside it, else the whole or its pieces."""
+def word_before(text: str, x: int) -> str:
+    """The last word that ends at or before x, in lower case."""
+    known = lambda c: c.isalnum() or c == "_"
+    while x and not known(text[x - 1]):
+        x -= 1
+    end = x
+    while x and known(text[x - 1]):
+        x -= 1
+    return text[x:end].lower()
+
+
+def inside(text: str, blob: int) -> list[tuple[int, int]]:
+    """Start and end of the candidates in one chunk: the whole, if a validator knows it, else what validators know inside it, else the whole, and its pieces if it is long."""
     a, b = trimmed(text)
-    if b - a <= longest and seed_kind(text[a:b]):
+    if seed_kind(text[a:b]):
         return [(a, b)]
     found: list[tuple[int, int]] = []
     for known in INSIDE:
@@ -110,13 +133,12 @@ def inside(text: str, longest: int) -> list[tuple[int, int]]:
             out.append(f)
     if out:
         return out
-    if len(text[a:b].encode()) <= longest:
+    if len(text[a:b].encode()) <= blob:
         return [(a, b)]
-    parts = [(m.start() + x, m.start() + y) for m in PIECE.finditer(text) for x, y in [trimmed(m.group())]]
-    return [(x, y) for x, y in parts if len(text[x:y].encode()) <= longest]
+    return list(dict.fromkeys([(a, b), *((m.start() + x, m.start() + y) for m in PIECE.finditer(text) for x, y in [trimmed(m.group())] if y > x)]))
 
 
-def candidates(data: np.ndarray, at: np.ndarray, longest: int) -> Iterator[tuple[int, int, int, str, str, str]]:
+def candidates(data: np.ndarray, at: np.ndarray, blob: int) -> Iterator[tuple[int, int, int, str, str, str]]:
     """row, start and end (bytes of the row), value, and the words before and after it."""
     if not len(data):
         return
@@ -136,22 +158,22 @@ def candidates(data: np.ndarray, at: np.ndarray, longest: int) -> Iterator[tuple
     if not len(hit):
         return
     row = np.searchsorted(at, s, "right") - 1
-    word = lambda i, r: re.sub(r"\W+", "", data[s[i] : min(e[i], s[i] + 64)].tobytes().decode("utf-8", "replace").lower()) if 0 <= i < len(s) and row[i] == r else ""
+    word = lambda i, r: re.sub(r"\W+", "", data[s[i] : e[i]].tobytes().decode("utf-8", "replace").lower()) if 0 <= i < len(s) and row[i] == r else ""
     joins = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]) | (s[hit[1:]] != e[hit[:-1]] + 1) | (data[e[hit[:-1]]] > 32)]))
     for a, b in zip(hit[joins], np.append(hit[joins[1:] - 1], hit[-1])):
-        spans = _spans([data[s[i] : e[i]].tobytes().decode("utf-8", "replace") if e[i] - s[i] <= longest else "@" for i in range(a, b + 1)], a) if a < b else [(a, a)]
+        # a chunk beyond 64 bytes is no part of a number, and stands alone
+        spans = _spans([data[s[i] : e[i]].tobytes().decode("utf-8", "replace") if e[i] - s[i] <= 64 else "@" for i in range(a, b + 1)], a) if a < b else [(a, a)]
         for i, j in spans:
             raw = data[s[i] : e[j]].tobytes().decode("utf-8", "replace")
-            done, at_byte = 0, int(s[i])
-            places = inside(raw, longest) if i == j else [trimmed(raw)]
-            for x, y in places:
+            done, at_byte, r = 0, int(s[i]), int(row[i])
+            for x, y in inside(raw, blob) if i == j else [trimmed(raw)]:
                 value = raw[x:y]
                 if value and any(c.isdigit() or c == "@" for c in value):
-                    at_byte += len(raw[done:x].encode())
-                    begin, done, r = at_byte, x, int(row[i])
+                    at_byte += len(raw[done:x].encode()) if x >= done else -len(raw[x:done].encode())
+                    begin, done = at_byte - int(at[r]), x
                     # the words beside it in the chunk, else the chunks beside it
-                    before, after = re.findall(r"\w+", raw[max(0, x - 64) : x]), re.findall(r"\w+", raw[y : y + 64])
-                    yield r, begin - int(at[r]), begin - int(at[r]) + len(value.encode()), value, before[-1].lower() if before else word(i - 1, r), after[0].lower() if after else word(j + 1, r)
+                    after = WORD.search(raw, y)
+                    yield r, begin, begin + len(value.encode()), value, word_before(raw, x) or word(i - 1, r), after.group().lower() if after else word(j + 1, r)
 
 
 def _spans(parts: list[str], at: int) -> list[tuple[int, int]]:
@@ -184,11 +206,11 @@ def occurrences(docs: DataFrame, p: Params = Params()) -> DataFrame:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
                 data, at = utf8(batch.column(1))
-                found = list(candidates(data, at, p.longest))
+                found = list(candidates(data, at, p.blob))
                 if found:
                     r, s, e, v, left, right = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(r)), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array([x.lower() for x in v]), pa.array([seed_kind(x) for x in v], pa.string()), pa.array([patterns(*x) for x in zip(v, left, right)], pa.list_(pa.string()))],
+                        [batch.column(0).take(pa.array(r)), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array([brief(x.lower()) for x in v]), pa.array([seed_kind(x) for x in v], pa.string()), pa.array([patterns(*x) for x in zip(v, left, right)], pa.list_(pa.string()))],
                         ["doc_id", "start", "end", "value", "seed", "patterns"],
                     )
 
@@ -197,14 +219,17 @@ def occurrences(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def instances(edges: DataFrame, seeds: DataFrame, p: Params) -> DataFrame:
     """value, kind, confidence. edges: value, pattern, distinct. seeds: value, kind."""
-    known = seeds.select("value", "kind", F.lit(1.0).alias("confidence"))
+    sure = seeds.select("value", "kind", F.lit(1.0).alias("confidence"), F.lit(1.0).alias("seeded"))
+    size = checkpoint(edges.groupBy("pattern").agg(F.count("*").alias("n")))
+    known, by_shape = sure, F.startswith("pattern", F.lit("S "))
     for _ in range(p.rounds):
-        by = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("pos"))
-        scored = by.withColumn("all", F.sum("pos").over(W.partitionBy("pattern"))).select("pattern", "kind", (F.col("pos") / (F.col("all") + p.prior)).alias("c")).where(F.col("c") >= p.min_pattern)
-        found = edges.join(scored, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("confidence"))
+        by = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("pos"), F.sum("seeded").alias("seeded"))
+        scored = by.join(size, "pattern").select("pattern", "kind", (F.when(by_shape, F.col("seeded")).otherwise(F.col("pos")) / (F.col("n") + p.prior)).alias("c")).where(F.col("c") >= p.min_pattern)
+        enough = F.max((~by_shape | (F.col("c") >= p.min_instance)).cast("int")).alias("enough")
+        found = edges.join(scored, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("confidence"), enough).where("enough = 1")
         found = found.join(seeds.select("value"), "value", "left_anti")
-        known = checkpoint(seeds.select("value", "kind", F.lit(1.0).alias("confidence")).union(found.select("value", "kind", "confidence")))
-    return known
+        known = checkpoint(sure.union(found.select("value", "kind", "confidence", F.lit(0.0))))
+    return known.select("value", "kind", "confidence")
 
 
 def extract(docs: DataFrame, p: Params = Params()) -> DataFrame:
