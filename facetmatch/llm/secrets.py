@@ -1,20 +1,22 @@
 """Secrets, told from ordinary identifiers by two character Markov models.
 
-Candidates are runs of at least `min_length` of the bytes A-Z a-z 0-9 + / = _ -. Two first-order Markov models, of random strings and of
-ordinary identifiers, are trained from labelled samples; a run is a secret if the log-likelihood ratio per character is above the
-threshold that, on the labelled samples, lets at most `false_rate` of the ordinary ones through. In the other runs, secrets are glued to something
-ordinary (paths, URLs, long key names): there the stretches of greatest summed ratio are secrets if the sum is above a second threshold, halfway from what
-`false_rate` of the ordinary samples exceed to what 99 % of the random ones reach; each is taken as far as the next of / = _ - on either side.
+Candidates are all runs of the bytes A-Z a-z 0-9 + / = _ -, of any length. Two first-order Markov models, of random strings and of
+ordinary identifiers, are trained from labelled samples; the log-likelihood ratios of a run's characters are summed, so that a longer run gives more evidence and no length has to be set. A run's stretches of
+greatest sum are secrets where the sum is above a threshold: what `false_rate` of the ordinary samples exceed, plus `prior`, as secrets are rare. A run whose whole sum is nearly that of its best stretch is a secret as a whole; in others
+secrets are glued to something ordinary (paths, URLs, long key names), and each stretch is taken as far as the next of / = _ - on either side.
 
-The labelled samples are made here: random draws (hexadecimal, base 32, base 36, base 62, base 64, URL-safe) as secrets; words of
-common syllables, joined as identifiers, paths, versions, dates, numbers and repeated characters as ordinary ones.
+The labelled samples are made here, or given as a table (fit_table). Made are: random draws (hexadecimal, base 32, base 36, base 62, base 64, URL-safe) as secrets; words of
+common syllables, joined as identifiers, paths, versions, dates, numbers, repeated characters and words in base 64 as ordinary ones. UUIDs are ordinary by their form (8-4-4-4-12 hexadecimal digits), as
+their characters are those of keys. For the same reason checksums and keys in hexadecimal can't be told apart: both are found.
 
-Defined results: null and empty texts hold no secret. Texts of any length are read whole, runs of any length judged whole. Rows are
-judged one by one, so repeated rows repeat their results. Empty tables give no rows. Further columns are ignored, or kept by redacted().
+Defined results: null and empty texts hold no secret. Texts and runs of any length are judged whole. Rows are
+judged one by one, so repeated rows repeat their results; rows with a null id keep it. Empty tables give no rows. Further columns are ignored, or kept by redacted().
 """
 
 from __future__ import annotations
 
+import base64
+import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from facetmatch.llm.common import map_rows, pick, utf8
+from facetmatch.llm.common import chunks, map_rows, pick, utf8
 
 ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/=_-"
 CODE = np.full(256, 255, np.uint8)
@@ -32,13 +35,19 @@ CODE[list(ALPHABET.encode())] = np.arange(len(ALPHABET))
 #: Whether a code is one of / = _ -
 JOINT = np.array([c in "/=_-" for c in ALPHABET])
 MARK = b"[SECRET]"
+UUID = re.compile(rb"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])")
 
 
 @dataclass(frozen=True)
 class Params:
-    min_length: int = 20
+    #: Lengths of the random samples, from and to before.
+    shortest: int = 12
+    longest: int = 65
+    #: Samples of each kind; of a given table, those with the smallest hashes.
     samples: int = 4000
     false_rate: float = 0.0005
+    #: Added to the threshold, in nats: about what a secret's rarity among runs weighs.
+    prior: float = 4.6
     smoothing: float = 0.5
     seed: int = 3
 
@@ -51,27 +60,25 @@ def labelled(p: Params = Params()) -> tuple[list[str], list[str]]:
     rng = np.random.default_rng(p.seed)
     draw = lambda chars, n: "".join(np.array(list(chars))[rng.integers(0, len(chars), n)])
     pools = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-"]
-    random = [draw(pools[i % len(pools)], int(rng.integers(p.min_length, 65))) for i in range(p.samples)]
+    random = [draw(pools[i % len(pools)], int(rng.integers(p.shortest, p.longest))) for i in range(p.samples)]
     ordinary = []
     word = lambda: "".join(SYLLABLES[j] for j in rng.integers(0, len(SYLLABLES), rng.integers(1, 5)))
+    encoded = lambda parts: base64.b64encode(" ".join(parts).capitalize().encode() if rng.random() < 0.5 else " ".join(parts).encode()).decode()
     while len(ordinary) < p.samples:
-        kind, parts = int(rng.integers(0, 10)), [word() for _ in range(int(rng.integers(3, 9)))]
-        text = (
-            "".join(parts), "_".join(parts), "-".join(parts), "/".join(parts), "".join(x.capitalize() for x in parts), "_".join(parts).upper(), "".join(parts).upper(),
-            draw(string.digits, int(rng.integers(p.min_length, 40))), "-".join([f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", *parts, str(rng.integers(0, 1000))]),
-            draw(string.ascii_letters + "-_=+/0", 1) * int(rng.integers(p.min_length, 60)),
-        )[kind]
-        if len(text) >= p.min_length:
-            ordinary.append(text)
+        kind, parts = int(rng.integers(0, 12)), [word() for _ in range(int(rng.integers(1, 9)))]
+        ordinary.append(
+            ("".join(parts), "_".join(parts), "-".join(parts), "/".join(parts), "".join(x.capitalize() for x in parts), "_".join(parts).upper(), "".join(parts).upper(),
+            draw(string.digits, int(rng.integers(1, 40))), "-".join([f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", *parts, str(rng.integers(0, 1000))]),
+            draw(string.ascii_letters + "-_=+/0", 1) * int(rng.integers(1, 60)), encoded(parts), encoded(parts).rstrip("="))[kind]
+        )
     return random, ordinary
 
 
 @dataclass
 class Model:
     ratio: np.ndarray  # of log-likelihoods, from character (the last row: the start) to character
-    threshold: float
+    threshold: float  # of sums
     p: Params
-    stretch: float = np.inf  # the threshold of sums
 
 
 def _counts(texts: list[str]) -> np.ndarray:
@@ -88,13 +95,10 @@ def train(random: list[str], ordinary: list[str], p: Params = Params()) -> Model
     for texts in (random, ordinary):
         c = _counts(texts) + p.smoothing
         logs.append(np.log(c / c.sum(1, keepdims=True)))
-    model = Model(logs[0] - logs[1], 0.0, p)
-    limit = lambda x: max(0.0, float(np.sort(x)[min(len(x) - 1, int(len(x) * (1 - p.false_rate)))])) if len(x) else 0.0
-    model.threshold = limit([score(model, t) for t in ordinary])
-    best = lambda c: float((c - np.minimum.accumulate(c)).max())
-    high, low = ([best(np.concatenate([[0], np.cumsum(ratios(model, t))])) for t in texts] for texts in (ordinary, random))
-    # halfway to what all but one in a hundred random ones reach, as real words have pairs of letters that the samples lack
-    model.stretch = max(limit(high), (limit(high) + float(np.quantile(low, 0.01))) / 2) if low else np.inf
+    model = Model(logs[0] - logs[1], np.inf, p)
+    best = sorted(score(model, t) for t in ordinary)
+    if best:
+        model.threshold = best[min(len(best) - 1, int(len(best) * (1 - p.false_rate)))] + p.prior
     return model
 
 
@@ -102,14 +106,22 @@ def fit(p: Params = Params()) -> Model:
     return train(*labelled(p), p)
 
 
+def fit_table(samples: DataFrame, p: Params = Params()) -> Model:
+    """From labelled samples: text, secret. Of each kind those `samples` rows with the smallest hashes are taken; what isn't of the alphabet is left out of them, null and empty texts are no samples. Without samples of either kind nothing is a secret."""
+    rows = pick(samples, "text", "secret").withColumn("text", F.regexp_replace("text", "[^A-Za-z0-9+/=_-]", "")).where("secret is not null and text <> ''")
+    random, ordinary = ([r["text"] for r in rows.where(F.col("secret").cast("boolean") == kind).orderBy(F.xxhash64(F.lit(p.seed), "text"), "text").limit(p.samples).collect()] for kind in (True, False))
+    return train(random, ordinary if random else [], p)
+
+
 def ratios(model: Model, text: str) -> np.ndarray:
     x = CODE[np.frombuffer(text.encode(), np.uint8)].astype(int)
     return model.ratio[np.concatenate([[len(ALPHABET)], x[:-1]]), x]
 
 
 def score(model: Model, text: str) -> float:
-    """Log-likelihood ratio per character, random to ordinary."""
-    return float(ratios(model, text).mean()) if text else 0.0
+    """The greatest summed log-likelihood ratio, random to ordinary, of any stretch of one run."""
+    total = np.concatenate([[0.0], np.cumsum(ratios(model, text))])
+    return float((total - np.minimum.accumulate(total)).max())
 
 
 def stretches(ratio: np.ndarray, joint: np.ndarray, most: float) -> list[tuple[int, int, float]]:
@@ -124,9 +136,13 @@ def stretches(ratio: np.ndarray, joint: np.ndarray, most: float) -> list[tuple[i
             if peak > most:
                 found.append((begin, end, peak / (end - begin)))
             total, peak, begin = 0.0, 0.0, i + 1
+    if len(found) == 1 and ratio.sum() > max(most, 0.8 * found[0][2] * (found[0][1] - found[0][0])):
+        return [(0, len(ratio), float(ratio.mean()))]
     at = np.flatnonzero(joint)
     out: list[tuple[int, int, float]] = []
     for a, b, v in found:
+        while joint[a]:
+            a += 1
         k, j = np.searchsorted(at, a), np.searchsorted(at, b)
         a, b = (int(at[k - 1]) + 1 if k else 0), (int(at[j]) if j < len(at) else len(ratio))
         if out and a <= out[-1][1]:
@@ -136,38 +152,40 @@ def stretches(ratio: np.ndarray, joint: np.ndarray, most: float) -> list[tuple[i
     return out
 
 
+def within(model: Model, run: bytes) -> list[tuple[int, int, float]]:
+    """Start, end and score of the secrets of one run."""
+    ratio, joint = ratios(model, run.decode()), JOINT[CODE[np.frombuffer(run, np.uint8)]]
+    for m in UUID.finditer(run):
+        ratio[slice(*m.span())] = -model.threshold
+        joint[slice(*m.span())] = True
+    return stretches(ratio, joint, model.threshold)
+
+
 def scan(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and scores of the secrets among all bytes, in order; none reaches over the end of a row."""
-    code = CODE[data]
-    inside = np.concatenate([[False], code != 255, [False]])
-    begins, ends = inside[1:] & ~inside[:-1], ~inside[1:] & inside[:-1]
-    inner = at[(at > 0) & (at < len(data))]
-    joined = inner[inside[inner] & inside[inner + 1]]
-    begins[joined] = ends[joined] = True
-    s, e = np.flatnonzero(begins), np.flatnonzero(ends)
-    long = e - s >= model.p.min_length
-    s, e = s[long], e[long]
-    if not len(s):
-        return s, e, np.zeros(0)
-    size = e - s
-    offset = np.concatenate([[0], np.cumsum(size)[:-1]])
-    where = np.repeat(s - offset, size) + np.arange(size.sum())
-    now = code[where].astype(np.int64)
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[offset] = len(ALPHABET)
-    ratio = model.ratio[before, now]
-    value = np.add.reduceat(ratio, offset) / size
-    good = value > model.threshold
-    # sums of the positive ratios bound those of all stretches
-    rest = np.flatnonzero(~good & (np.add.reduceat(np.maximum(ratio, 0), offset) > model.stretch))
-    runs = [(int(s[i]), slice(offset[i], offset[i] + size[i])) for i in rest.tolist()]
-    inner = [(base + a, base + b, v) for base, run in runs for a, b, v in stretches(ratio[run], JOINT[now[run]], model.stretch)]
-    if inner:
-        s, e, value = (np.concatenate([x[good], np.array(y, x.dtype)]) for x, y in zip((s, e, value), zip(*inner)))
-        order = np.argsort(s)
-        return s[order], e[order], value[order]
-    return s[good], e[good], value[good]
+    """Starts, ends and scores (log-likelihood ratio per character) of the secrets among all bytes, in order; none reaches over the end of a row."""
+    every: list[tuple[int, int, float]] = []
+    size, table = len(ALPHABET), np.maximum(model.ratio, 0).ravel()
+    for lo, _, part, offsets in chunks(data, at):
+        code = CODE[part].astype(np.int64)
+        inside = np.concatenate([[False], code != 255, [False]])
+        begins, ends = inside[1:] & ~inside[:-1], ~inside[1:] & inside[:-1]
+        inner = offsets[(offsets > 0) & (offsets < len(part))]
+        joined = inner[inside[inner] & inside[inner + 1]]
+        begins[joined] = ends[joined] = True
+        s, e = np.flatnonzero(begins), np.flatnonzero(ends)
+        if not len(s):
+            continue
+        # sums of the positive ratios bound those of all stretches
+        before = np.concatenate([[size], code[:-1]])
+        before[s] = size
+        bound = np.concatenate([np.take(table, before * size + code, mode="clip"), [0]])
+        bound[np.flatnonzero(code == 255)] = 0
+        base = int(at[lo])
+        for i in np.flatnonzero(np.add.reduceat(bound, s) > model.threshold).tolist():
+            a = int(s[i])
+            every += [(base + a + x, base + a + y, v) for x, y, v in within(model, part[a : int(e[i])].tobytes())]
+    s, e, v = (np.array(x) for x in zip(*every)) if every else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return s, e, v
 
 
 def found(docs: DataFrame, model: Model | None = None) -> DataFrame:

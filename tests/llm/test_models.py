@@ -162,10 +162,30 @@ def test_without_labels_there_is_no_language(spark):
 
 
 def test_secrets_held_out():
+    """Samples of another draw; UUIDs by their form, and keys of 16 characters."""
+    import uuid
+
     m = S.fit()
     random_, ordinary = S.labelled(S.Params(seed=99))
-    assert np.mean([S.score(m, t) > m.threshold for t in random_]) > 0.97
-    assert np.mean([S.score(m, t) > m.threshold for t in ordinary]) < 0.01
+    found = lambda texts: np.mean([bool(S.within(m, t.encode())) for t in texts])
+    assert found([t for t in random_ if len(t) >= 20]) > 0.97 and found(ordinary) < 0.005
+    rng = random.Random(1)
+    uuids = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(1000)]
+    assert found(uuids) == 0 and found([f"/user/{u.upper()}/items" for u in uuids]) < 0.01
+    for chars in ("0123456789abcdef", S.ALPHABET[:62]):
+        assert found(["".join(rng.choice(chars) for _ in range(16)) for _ in range(300)]) > 0.85
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    run = f"{uuids[0]}/{key}"
+    assert [(a, b) for a, b, _ in S.within(m, run.encode())] == [(37, 77)]
+
+
+def test_samples_from_a_table(spark):
+    r, o = S.labelled(S.Params(samples=300))
+    rows = [(t, True, 1) for t in r] + [(t, False, 1) for t in o] + [(None, True, 1), ("", False, 1), ("x", None, 1)]
+    df = spark.createDataFrame(rows, "text string, secret boolean, SECRET_ int")
+    m = S.fit_table(df, S.Params(samples=300))
+    assert np.allclose(m.ratio, S.train(r, o).ratio) and 0 < m.threshold < 100
+    assert S.fit_table(df.limit(0)).threshold == np.inf and S.fit_table(df.where("secret")).threshold == np.inf
 
 
 def test_scan_equals_brute_force(spark):
@@ -174,14 +194,14 @@ def test_scan_equals_brute_force(spark):
     m = S.fit()
     rng = random.Random(5)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(6)]
-    texts = [f'é token = "{hexes[0]}" end', hexes[1], hexes[2] + " " + hexes[3] + "\n", prose("yy", 40, rng), "averyveryverylongordinarywordindeedthatgoeson", None, "", hexes[4][:19], "x" * 5000 + " " + hexes[5]]
-    docs = clash(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA))
-    want = sorted((i, len(t[: x.start()].encode()), len(t[: x.end()].encode())) for i, t in enumerate(texts) if t for x in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", t) if S.score(m, x.group()) > m.threshold)
-    got = sorted((r["doc_id"], r["start"], r["end"]) for r in S.found(docs, m).collect())
-    assert got == want and {i for i, _, _ in got} == {0, 1, 2, 8}
+    texts = [f'é token = "{hexes[0]}" end', hexes[1], hexes[2] + " " + hexes[3] + "\n", prose("yy", 40, rng), "averyveryverylongordinarywordindeedthatgoeson", None, "", "ab1", "x" * 5000 + " " + hexes[5] + " " + "xyz/" * 300_000 + hexes[4]]
+    docs = clash(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(1, texts[1], "en", "s", 1), (None, texts[1], "en", "s", 1)], SCHEMA))
+    want = [(i, len(t[: x.start()].encode()) + a, len(t[: x.start()].encode()) + b) for i, t in enumerate(texts) if t for x in re.finditer(r"[A-Za-z0-9+/=_-]+", t) for a, b, _ in S.within(m, x.group().encode())]
+    got = [(r["doc_id"], r["start"], r["end"]) for r in S.found(docs, m).collect()]
+    assert Counter(got) == Counter([*want, (1, 0, 40), (None, 0, 40)]) and {i for i, _, _ in got} == {0, 1, 2, 8, None}
     clean = S.redacted(docs.toDF("doc_id", "text", "lang", "source", "n_chars", "TEXT", "score", "other"), m)
     rows = {r[0]: r for r in clean.collect()}
-    assert len(rows) == len(texts) and rows[0][1] == 'é token = "[SECRET]" end' and rows[0][4] == len(rows[0][1]) and rows[2][1] == "[SECRET] [SECRET]\n" and rows[3][1] == texts[3] and rows[5][1] is None
+    assert len(rows) == len(texts) + 1 and rows[0][1] == 'é token = "[SECRET]" end' and rows[0][4] == len(rows[0][1]) and rows[2][1] == "[SECRET] [SECRET]\n" and rows[3][1] == texts[3] and rows[5][1] is None
     assert S.found(docs.limit(0), m).count() == 0 and S.redacted(spark.createDataFrame([], SCHEMA), m).count() == 0
 
 
