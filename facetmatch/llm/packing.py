@@ -3,26 +3,30 @@
 Examples are spread by a hash of their ids over groups of about `group_size`, and each group is packed by itself, so that the work grows in
 proportion to the input. Within a group the dot-product heuristic (Panigrahy et al. 2011) fills one bin at a time: of the examples that
 still fit in each dimension it takes the one with the largest sum of weight * remaining room * demand (both as shares of the
-limits; the weights are the group's mean demands), ties by id and piece, until none fits.
+limits; the weights are the group's mean demands), ties by id and piece, until none fits. What lies in bins that are less than `full` in all three dimensions, as the last ones of each
+group are, is taken out again and packed in groups of its own, so that only those last groups leave bins unfilled.
 
 An example beyond a limit is cut into consecutive pieces, each as long as the limits allow, so that no token is lost or repeated.
 
 Defined results: null and empty texts have no tokens and are left out, as are rows with a null id. A conversation that repeats a turn number keeps each
-row, ordered by turn, role, text. Rows that repeat a document are packed each. Empty tables give no rows. Further columns are ignored.
+row, ordered by turn, role, text; a null role bears no loss. Texts are tokenised whole, of any length. Rows that repeat a document are packed each. Ties by all else are in the order of their pieces. Empty tables give no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmatch.llm.common import pick
+from facetmatch.llm.common import checkpoint, pick
+from facetmatch.session import spread
 
 #: What the byte-level vocabularies cut texts into, before their merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,9 +38,9 @@ class Params:
     max_segments: int = 32
     max_loss: int = 3072
     group_size: int = 2000
+    full: float = 0.9
+    #: A file on the driver, which is sent to the executors once.
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-    #: Longest run of non-space characters given to the merges at once; longer ones are cut, as their time grows faster than they do.
-    longest_run: int = 400
 
 
 _encoders: dict[str, object] = {}
@@ -52,33 +56,20 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def token_count(text: Column, p: Params = Params()) -> Column:
+def token_count(spark: SparkSession, text: Column, p: Params = Params()) -> Column:
     """Tokens of whole texts; 0 for null."""
-    import regex
-
-    cut = regex.compile(r"\S{%d}" % p.longest_run)
+    spark.sparkContext.addFile(p.vocabulary)
+    name = os.path.basename(p.vocabulary)
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(p.vocabulary)
+        enc = encoder(SparkFiles.get(name))
         for s in batches:
-            out = np.zeros(len(s), np.int32)
-            for i, t in enumerate(s):
-                if t:
-                    if len(t) > p.longest_run:
-                        out[i] = sum(len(enc.encode_ordinary(x)) for x in _parts(t, cut))
-                    else:
-                        out[i] = len(enc.encode_ordinary(t))
-            yield pd.Series(out)
+            yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in s], dtype=np.int32)
 
     return count(text)
 
 
-def _parts(text: str, cut) -> list[str]:
-    at = [m.end() for m in cut.finditer(text)]
-    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])] if at else [text]
-
-
 def pieces(turns: list[tuple[int, bool]], p: Params) -> list[tuple[int, int, int, int]]:
     """(first token, tokens, turns touched, loss-bearing tokens) of consecutive pieces of an example of (tokens, loss-bearing) turns; more than one only where it is beyond a limit."""
     out, begin, tokens, loss, n = [], 0, 0, 0, 0
@@ -115,40 +106,53 @@ def pack(demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bins, place
 
 
-SCHEMA = "bin_id long, place int, {id} long, piece int, first_token long, tokens long, segments int, loss_tokens long"
+PIECE = "{id} long, piece int, first_token long, tokens long, segments int, loss_tokens long"
+SCHEMA = "bin_id long, place int, " + PIECE
+
+
+def grouped(rows: DataFrame, key: str, p: Params) -> DataFrame:
+    """rows with g, their group, parted by it over all cores."""
+    return spread(rows.withColumn("g", F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows.count() // p.group_size))))), "g").groupBy("g")
 
 
 def packed(examples: DataFrame, id_name: str, p: Params = Params()) -> DataFrame:
     """examples: id, turns (array of struct tokens, loss). A row a piece: its bin, its place in it, where it begins, and what it takes of each limit."""
-    groups = max(1, -(-examples.count() // p.group_size))
     limits = np.array([p.max_tokens, p.max_segments, p.max_loss], float)
+    columns = [id_name, "piece", "first_token", "tokens", "segments", "loss_tokens"]
+
+    def placed(out: pd.DataFrame, first: int) -> pd.DataFrame:
+        demand = out[columns[3:]].to_numpy(float) / limits
+        bins, place = pack(demand)
+        use = np.zeros((int(bins.max(initial=-1)) + 1, 3))
+        np.add.at(use, bins, demand)
+        out["bin_id"], out["place"], out["full"] = bins + first, place, (use.max(1) >= p.full)[bins]
+        return out[["bin_id", "place", *columns, "full"]]
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted((int(i), k, *part) for i, turns in zip(pdf["id"], pdf["turns"]) for k, part in enumerate(pieces([(t["tokens"], t["loss"]) for t in turns], p)))
+        return placed(pd.DataFrame(rows, columns=columns), int(pdf["g"].iloc[0]) << 32)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for i, turns in zip(pdf["id"], pdf["turns"]):
-            for k, part in enumerate(pieces([(t["tokens"], t["loss"]) for t in turns], p)):
-                rows.append((int(i), k, *part))
-        rows.sort()
-        out = pd.DataFrame(rows, columns=[id_name, "piece", "first_token", "tokens", "segments", "loss_tokens"])
-        bins, place = pack(out[["tokens", "segments", "loss_tokens"]].to_numpy(float) / limits)
-        out["bin_id"], out["place"] = bins + (int(pdf["g"].iloc[0]) << 32) if len(pdf) else bins, place
-        return out[["bin_id", "place", id_name, "piece", "first_token", "tokens", "segments", "loss_tokens"]]
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        # bins of later groups have negative numbers
+        return placed(pdf[columns].sort_values(columns, ignore_index=True), -1 - int(pdf["g"].iloc[0]) << 32)
 
-    spread = examples.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    return spread.groupBy("g").applyInPandas(run, SCHEMA.format(id=id_name))
+    schema = SCHEMA.format(id=id_name) + ", full boolean"
+    first = checkpoint(grouped(examples, "id", p).applyInPandas(cut, schema))
+    rest = grouped(first.where("not full").select(*columns), id_name, p).applyInPandas(again, schema)
+    return first.where("full").union(rest).drop("full")
 
 
 def packed_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Each document is one example of one turn, all of its tokens bearing loss."""
     rows = pick(docs, "doc_id", "text").where("doc_id is not null and length(text) > 0")
-    counted = rows.select(F.col("doc_id").cast("long").alias("id"), token_count(F.col("text"), p).alias("n"))
+    counted = rows.select(F.col("doc_id").cast("long").alias("id"), token_count(docs.sparkSession, F.col("text"), p).alias("n"))
     return packed(counted.select("id", F.array(F.struct(F.col("n").alias("tokens"), F.lit(True).alias("loss"))).alias("turns")), "doc_id", p)
 
 
 def packed_conversations(conversations: DataFrame, p: Params = Params(), loss_role: str = "assistant") -> DataFrame:
     """Each conversation is one example; its turns are its segments, and those of loss_role bear loss."""
     rows = pick(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null and length(text) > 0")
-    counted = rows.select(F.col("conv_id").cast("long").alias("id"), "turn", "role", F.xxhash64("text").alias("h"), token_count(F.col("text"), p).alias("tokens"))
+    counted = rows.select(F.col("conv_id").cast("long").alias("id"), "turn", "role", F.xxhash64("text").alias("h"), token_count(conversations.sparkSession, F.col("text"), p).alias("tokens"))
     turn = F.struct("turn", "role", "h", "tokens", F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"))
     whole = counted.groupBy("id").agg(F.array_sort(F.collect_list(turn)).alias("all"))
     return packed(whole.select("id", F.transform("all", lambda t: F.struct(t["tokens"].alias("tokens"), t["loss"].alias("loss"))).alias("turns")), "conv_id", p)
