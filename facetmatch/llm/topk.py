@@ -7,7 +7,7 @@ an interval's lower end, or it can't be told from a point, all scores there are
 
 Defined results: a vector that is null, holds a null or NaN, is all zero, or differs in length from the most frequent (the longest, of equally frequent ones) is neither query nor
 answer, like a row with a null id. A query's own id is no answer to it. Rows that repeat an id with equal vectors count once; with several vectors they
-are several queries, told apart by nothing. With fewer than k others all are given. Empty tables give no rows. Further columns are ignored.
+are several queries, told apart by nothing, and none an answer to another. With fewer than k others all are given. Empty tables give no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,10 +126,12 @@ def top_k(vectors: DataFrame, p: Params = Params()) -> DataFrame:
             full = lambda v: pa.array([np.full(i, v).tobytes() for i in n], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), full(-1 - 1e-6), full(1 + 1e-6), full(False)], ["block", "lo", "hi", "done"])
 
-    bounds = packed.select("block", "ids").mapInArrow(start, "block long, lo binary, hi binary, done binary")
+    bounds = packed.select("block", "ids").mapInArrow(start, "block long, lo binary, hi binary, done binary").withColumn("open", F.lit(1).cast("long"))
     for _ in range(p.rounds):
-        parts = histograms(packed.join(bounds.select("block", "lo", "hi"), "block"), packed, p)
-        bounds = checkpoint(refine(parts, bounds.select("block", "lo", "hi", "done"), p))
+        # blocks whose queries are all settled aren't scored again
+        now = bounds.where("open > 0")
+        parts = histograms(packed.join(now.select("block", "lo", "hi"), "block"), packed, p)
+        bounds = checkpoint(refine(parts, now.select("block", "lo", "hi", "done"), p).union(bounds.where("open = 0").select("block", "lo", "hi", "done", "open")))
         if not bounds.agg(F.sum("open")).first()[0]:
             break
 
