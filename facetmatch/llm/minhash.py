@@ -199,24 +199,28 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """A row for each document of a group but the kept one: doc_id, kept_doc_id, estimated similarity of the two (a group holds together by chains, so it can lie under the threshold)."""
-    sigs = signatures(docs, p)
-    sigs = checkpoint(sigs)
+def groups(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """node, root for each document of a group but the kept one; and all signatures."""
+    sigs = checkpoint(signatures(docs, p))
     alike = sigs.groupBy("full").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     exact = sigs.select("id", "full").join(alike.where("n > 1").select("full", "rep"), "full").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     one = sigs.join(alike.select("full", "rep"), "full").where("id = rep").select("id", "keys", "sig").dropDuplicates(["id", "keys"])
     exploded = one.select(F.explode("keys").alias("key"), "id", "sig")
     near = candidate_edges(exploded.repartition("key").sortWithinPartitions("key", "id"), p)
-    groups = components(near.union(exact))
+    return components(near.union(exact)), sigs
+
+
+def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """A row for each document of a group but the kept one: doc_id, kept_doc_id, estimated similarity of the two (a group holds together by chains, so it can lie under the threshold)."""
+    parts, sigs = groups(docs, p)
     s = sigs.groupBy("id").agg(F.max("sig").alias("sig"))
-    pairs = groups.join(s.select(F.col("id").alias("node"), F.col("sig").alias("x")), "node").join(s.select(F.col("id").alias("root"), F.col("sig").alias("y")), "root")
+    pairs = parts.join(s.select(F.col("id").alias("node"), F.col("sig").alias("x")), "node").join(s.select(F.col("id").alias("root"), F.col("sig").alias("y")), "root")
     return pairs.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"), F.round(similarity_column("x", "y", p), 4).alias("similarity"))
 
 
 def deduplicated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One document of each group, with docs' columns. Rows that repeat an id leave one row (null ids aside)."""
-    left = without(docs, duplicates(docs, p).select("doc_id"))
+    left = without(docs, groups(docs, p)[0].select("node"))
     ids = pick(docs, "doc_id").where("doc_id is not null")
     twice = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
