@@ -43,7 +43,8 @@ def ranked(df: DataFrame, order: list[str], strata: list[str], name: str) -> Dat
 def interleaved(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """A row a row of docs: doc_id, source, fraction, position (from 0), shard."""
     rows = pick(docs, "doc_id", "source").withColumn("h", F.md5(F.concat_ws(":", F.lit(str(p.seed)), F.col("doc_id").cast("string"))))
-    by_source = ranked(rows, ["source", "h", "doc_id"], ["source"], "r")
+    # _t parts rows that are alike in all else, such as those with null ids, so that a task needn't sort them all
+    by_source = ranked(rows.withColumn("_t", F.monotonically_increasing_id()), ["source", "h", "doc_id", "_t"], ["source"], "r")
     placed = by_source.select("doc_id", "source", "h", ((F.col("r") - 0.5) / F.col("r_of")).alias("fraction"), F.lit(0).alias("all"))
     whole = ranked(placed, ["all", "fraction", "source", "h", "doc_id"], ["all"], "position")
     at = F.col("position") - 1
