@@ -134,6 +134,14 @@ def test_odd_rows_and_thousands_of_copies(spark):
     assert M.duplicates(empty).count() == 0 and M.deduplicated(empty).count() == 0
 
 
+def test_an_id_with_two_texts_counts_once(spark):
+    rng = random.Random(14)
+    a, b = prose(60, rng), prose(60, rng)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, prose(60, rng))]
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in M.duplicates(docs_of(spark, rows)).collect()} == {(2, 1), (3, 1)}
+    assert sorted(r[0] for r in M.deduplicated(docs_of(spark, rows)).collect()) == [1, 4]
+
+
 def test_buckets_that_cross_arrow_batches(spark):
     rng = random.Random(5)
     base = prose(300, rng)
@@ -276,7 +284,7 @@ def test_packing_keeps_limits_and_all_tokens(spark):
     tokens, loss = Counter(), Counter()
     for c, _, role, t in rows:
         if c is not None and t:
-            n = len(enc.encode_ordinary(t)) if len(t) <= p.longest_run else sum(len(enc.encode_ordinary(x)) for x in [t])
+            n = len(enc.encode_ordinary(t))
             tokens[c] += n
             loss[c] += n * (role == "assistant")
     assert Counter({r["conv_id"]: 0 for r in got}) | tokens == tokens
@@ -296,6 +304,8 @@ def test_packing_keeps_limits_and_all_tokens(spark):
     for r in got:
         places[r["bin_id"]].append(r["place"])
     assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    filled = sum(max(u / (p.max_tokens, p.max_segments, p.max_loss)) >= p.full for u in use.values())
+    assert filled >= len(use) - 4
     assert K.packed_conversations(conv.limit(0), p).count() == 0
 
 
@@ -333,6 +343,7 @@ def test_documents_of_every_kind(spark):
     assert {r["doc_id"] for r in got} == {3, 4, 5} and sum(r["doc_id"] == 3 for r in got) == 2
     assert sum(r["tokens"] for r in got if r["doc_id"] == 4) == len(K.encoder(p.vocabulary).encode_ordinary(rows[5][1]))
     assert all(r["tokens"] <= 200 for r in got)
+    assert sum(r["tokens"] for r in got if r["doc_id"] == 5) == len(K.encoder(p.vocabulary).encode_ordinary("y" * 20_000))
 
 
 # sharding
@@ -391,6 +402,12 @@ def test_top_k_equals_brute_force(spark, p):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=2e-9)
 
 
+def test_an_id_with_two_vectors_is_two_queries(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), T.Params(k=1)).collect())
+    assert got == [(1, 1, 2), (1, 1, 3), (2, 1, 1), (3, 1, 1)]
+
+
 def test_top_k_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert T.top_k(empty).count() == 0
