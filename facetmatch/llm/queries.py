@@ -19,8 +19,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_conversations(table(spark, sf_dir, "conversations"))
 
 
+#: The seeds of op3_link_graph's query, as the tables at hand have no list of hosts.
+TRUSTED = ["therhe.example.org", "therer.example.org", "tionble.example.org", "tiontion.example.net", "ththat.example.net"]
+BLOCKED = ["ads-track.example.com", "adult-x.example.net", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.com"]
+
+
 def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_graph.page_verdicts(table(spark, sf_dir, "pages"))
+    trusted, blocked = (spark.createDataFrame([(h,) for h in hosts], "host string") for hosts in (TRUSTED, BLOCKED))
+    return link_graph.page_verdicts(table(spark, sf_dir, "pages"), trusted, blocked)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +64,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op3_link_graph": link_graph.sql(), "op7_sharding": sharding.SQL, "op9_top_k": topk.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op3_link_graph": link_graph.sql(TRUSTED, BLOCKED), "op7_sharding": sharding.SQL, "op9_top_k": topk.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in sql.items() if v}

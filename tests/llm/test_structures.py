@@ -417,25 +417,33 @@ def test_top_k_of_nothing(spark):
 # link graph
 
 
+def hosts_of(spark, names):
+    return spark.createDataFrame([(n, "x") for n in names], "host string, HOST_ string")
+
+
 def test_scores_equal_brute_force(spark):
     rng = random.Random(12)
-    hosts = [f"h{i}.example.com" for i in range(12)] + ["therhe.example.org", "www.therhe.example.org", "m.spam-farm.example.net", "free-bets.example.com"]
+    hosts = [f"h{i}.example.com" for i in range(12)] + ["good.example.org", "www.good.example.org", "m.bad.example.net", "bets.example.com"]
+    trusted, blocked = ["GOOD.example.org", "h3.example.com", "good.example.org", None, "nowhere.example.org"], ["www.bad.example.net", "bets.example.com", "bets.example.com"]
     rows = []
     for i in range(80):
         h = rng.choice(hosts)
         links = "".join(f"<p><a class='x' href=\"{rng.choice(['http://', 'https://', '//', 'HTTPS://'])}{rng.choice(hosts).upper() if rng.random() < 0.2 else rng.choice(hosts)}{rng.choice(['', '/a?b', ':80/'])}\">t</a> <a href='/own'>o</a>" for _ in range(rng.randint(0, 4)))
         rows.append((i, f"http://{h}/p{i}", links))
-    rows += [(100, None, "<a href='http://h1.example.com'>"), (101, "no host", "x"), (102, "http://h2.example.com/", None), (103, "http://h2.example.com/", "")]
+    rows += [(100, None, "<a href='http://h1.example.com'>"), (101, "no host", "x"), (102, "http://h2.example.com/", None), (103, "http://h2.example.com/", ""), (None, "http://h2.example.com/", "x" * 2_000_000 + "<a href=//only.example.com>"), (5, *rows[5][1:])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = hosts_of(spark, trusted), hosts_of(spark, blocked)
     con = duckdb.connect()
     pages = df.toPandas()  # noqa: F841
     con.register("pages", pages)
-    want = {r[0]: r[1:] for r in con.sql("SELECT page_id, host, trust, distrust, blocked FROM (" + G.sql() + ")").fetchall()}
-    got = {r["page_id"]: tuple(r)[1:] for r in G.page_verdicts(df.selectExpr("*", "1 AS HOST", "2 AS trust", "3 AS URL")).collect()}
-    assert set(got) == set(want)
-    for k in want:
-        assert got[k][0] == want[k][0] and got[k][3] == want[k][3] and abs(got[k][1] - want[k][1]) < 2e-6 and abs(got[k][2] - want[k][2]) < 2e-6
-    assert got[100][0] is None and not got[100][3]
+    key = lambda r: (r[0] is None or r[0] != r[0], r[0] or 0, r[1] or "")
+    want = sorted(con.sql("SELECT CAST(page_id AS BIGINT), host, trust, distrust, blocked FROM (" + G.sql([t for t in trusted if t], blocked) + ")").fetchall(), key=key)
+    got = sorted((tuple(r) for r in G.page_verdicts(df.selectExpr("*", "1 AS HOST", "2 AS trust", "3 AS URL"), *seeds).collect()), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and a[4] == b[4] and abs(a[2] - b[2]) < 2e-6 and abs(a[3] - b[3]) < 2e-6
+    by = {r[0]: r for r in got}
+    assert by[100][1] is None and not by[100][4] and (None, "only.example.com") in {r[:2] for r in got}
     # and by plain matrices
     names, edges = G.host_graph(df)
     e = [(r["src"], r["dst"], r["weight"]) for r in edges.collect()]
@@ -444,18 +452,31 @@ def test_scores_equal_brute_force(spark):
     w = np.zeros((len(all_), len(all_)))
     for a, b, x in e:
         w[at[a], at[b]] += x
-    import re
-
     p = G.Params()
-    scores = {}
-    for name, m, pattern in (("trust", w, p.trusted), ("distrust", w.T, p.blocked)):
-        seed = np.array([bool(re.search(pattern, h)) for h in all_], float)
-        seed /= max(seed.sum(), 1)
+    shares = {}
+    for name, m, of in (("trust", w, {"good.example.org", "www.good.example.org", "h3.example.com"}), ("distrust", w.T, {"bad.example.net", "m.bad.example.net", "bets.example.com"})):
+        seed = np.array([h in of for h in all_], float)
         step = m / np.maximum(m.sum(1, keepdims=True), 1e-300)
-        s = seed
+        s, u = seed, np.ones(len(all_))
         for _ in range(p.iterations):
-            s = (1 - p.damping) * seed + p.damping * (s @ step)
-        scores[name] = s
-    for r in G.host_verdicts(df).collect():
-        assert abs(r["trust"] - scores["trust"][at[r["host"]]]) < 1e-5 and abs(r["distrust"] - scores["distrust"][at[r["host"]]]) < 1e-5
-    assert G.page_verdicts(df.limit(0)).count() == 0
+            r, v = p.damping * (s @ step), p.damping * (u @ step)
+            s, u = (1 - p.damping) * seed + r, (1 - p.damping) + v
+        shares[name] = np.where(seed > 0, 1, np.divide(r, v, out=np.zeros_like(r), where=v > 0))
+    for r in G.host_verdicts(df, *seeds).collect():
+        assert abs(r["trust"] - shares["trust"][at[r["host"]]]) < 1e-5 and abs(r["distrust"] - shares["distrust"][at[r["host"]]]) < 1e-5
+    assert G.page_verdicts(df.limit(0), *seeds).count() == 0
+    unseeded = G.page_verdicts(df, hosts_of(spark, []), hosts_of(spark, [])).agg({"trust": "max", "distrust": "max"}).first()
+    assert tuple(unseeded) == (0, 0)
+
+
+@pytest.mark.parametrize("seeds", [1, 10_000])
+def test_neighbours_of_blocked_hosts_whatever_the_number_of_seeds_and_links(spark, seeds):
+    """300 hosts link to one blocked hub, and one host links to each of those; hosts that link to ordinary ones stay."""
+    a = lambda h: f"<a href='http://{h}/'>"
+    rows = [(i, f"http://fan{i}.example.com/", a("hub.example.com")) for i in range(300)] + [(400, "http://far.example.com/", a("fan0.example.com")), (401, "http://clean.example.com/", a("paper.example.com"))]
+    rows += [(402, "http://mixed.example.com/", a("hub.example.com") + "".join(a(f"one{i}.example.com") for i in range(20)))]
+    rows += [(1000 + i, f"http://seed{i}.example.com/", a("hub.example.com")) for i in range(1, seeds)]
+    blocked = ["hub.example.com"] + [f"seed{i}.example.com" for i in range(1, seeds)]
+    got = {r["host"]: r for r in G.host_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), hosts_of(spark, ["paper.example.com"]), hosts_of(spark, blocked)).collect()}
+    assert all(got[f"fan{i}.example.com"]["blocked"] for i in range(300)) and got["hub.example.com"]["blocked"]
+    assert not any(got[f"{h}.example.com"]["blocked"] for h in ("clean", "paper", "mixed", "one3"))
