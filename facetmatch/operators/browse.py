@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from facetmatch.functions.text import fold, slugify
+from facetmatch.session import checkpoint
 
 PAGE, TOP, EXPANDED, FOUND = 60, 10, 200, 50
 
@@ -102,19 +103,60 @@ def year_distance(year: Column, base: Column) -> Column:
 
 
 def same_maker(records: DataFrame, most: int = 4) -> DataFrame:
-    """DT1: id, rank, related."""
-    a = records.where("manufacturer <> ''").select("id", "kind", "manufacturer", "body_type", "traits", "year")
-    b = records.select("kind", "manufacturer", F.struct(F.col("ord").alias("o"), F.col("id").alias("i"), F.col("body_type").alias("t"), F.col("traits").alias("x"), F.col("year").alias("y")).alias("b"))
-    pairs = a.join(b, ["kind", "manufacturer"]).where(F.col("id") != F.col("b.i"))
+    """DT1: id, rank, related. Records that are alike in all that ranks them are first reduced to one profile, with the first few of it by ord; so only profiles of a maker are compared, whatever the number of records."""
+    profile = ["kind", "manufacturer", "body_type", "traits", "year"]
+    known = records.where("manufacturer <> ''")
+    nth = F.row_number().over(W.partitionBy(*profile).orderBy("ord"))
+    short = known.select(*profile, "ord", "id").withColumn("n", nth).where(F.col("n") <= most + 1)
+    profiles = short.groupBy(*profile).agg(F.collect_list(F.struct("ord", "id")).alias("firsts"))
+    a = profiles.select(F.struct(*profile).alias("profile"), *profile)
+    b = profiles.select("kind", "manufacturer", F.struct(F.col("body_type").alias("t"), F.col("traits").alias("x"), F.col("year").alias("y"), "firsts").alias("b"))
     near = F.when(F.coalesce("year", F.lit(0)) == 0, 0).otherwise(year_distance(F.col("b.y"), F.col("year")))
-    rank = F.row_number().over(W.partitionBy("id").orderBy(~F.col("b.t").eqNullSafe(F.col("body_type")), F.desc(F.coalesce(F.size(F.array_intersect("traits", "b.x")), F.lit(0))), near, "b.o"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "rank", F.col("b.i").alias("related"))
+    key = F.struct((~F.col("b.t").eqNullSafe(F.col("body_type"))).alias("other"), (-F.coalesce(F.size(F.array_intersect("traits", "b.x")), F.lit(0))).alias("apart"), near.alias("near"))
+    # a profile whose rows before it are enough can't be reached
+    before = W.partitionBy("profile").orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow)
+    level = a.join(b, ["kind", "manufacturer"]).select("profile", key.alias("key"), "b.firsts").withColumn("upto", F.sum(F.size("firsts")).over(before))
+    level = level.withColumn("here", F.sum(F.size("firsts")).over(W.partitionBy("profile", "key"))).where(F.col("upto") - F.col("here") < most + 1)
+    rows = level.select("profile", "key", F.explode("firsts").alias("f"))
+    best = rows.withColumn("n", F.row_number().over(W.partitionBy("profile").orderBy("key", "f.ord"))).where(F.col("n") <= most + 1)
+    listed = best.groupBy("profile").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("f.id").alias("id")))), lambda x: x["id"]).alias("ids"))
+    on = [known[c].eqNullSafe(F.col(f"profile.{c}")) for c in profile]
+    own = known.join(listed, on).select("id", F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, most).alias("ids"))
+    return own.select("id", F.posexplode("ids").alias("rank", "related")).select("id", (F.col("rank") + 1).alias("rank"), "related")
 
 
 def mount_matches(records: DataFrame, most: int = 4) -> DataFrame:
-    """DT2: id, rank, related: of the other kind, sharing a mount whatever its case."""
-    keyed = records.select("ord", "id", "kind", "manufacturer", "year", F.explode(F.array_distinct(F.transform("mounts", F.lower))).alias("m"))
-    b = keyed.select("m", F.when(F.col("kind") == "camera", "lens").otherwise("camera").alias("kind"), F.col("ord").alias("o"), F.col("id").alias("i"), F.col("manufacturer").alias("f"), F.col("year").alias("y"))
-    pairs = keyed.join(b, ["m", "kind"]).dropDuplicates(["id", "i"])
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("f") != F.col("manufacturer"), year_distance(F.col("y"), F.col("year")), "o"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "rank", F.col("i").alias("related"))
+    """DT2: id, rank, related: of the other kind, sharing a mount whatever its case; a camera with a column lens_mount has that one, unsplit. By the same maker first, then by year, then ord.
+
+    What fits depends on mount, kind, maker and year alone, and ranks by maker, year and ord. So of each mount, kind, maker and year only the first few rows can be chosen, and lists are made for each
+    (mount, kind, maker, year) that is asked for: of the same maker, and of others. A record then meets a few rows for each of its mounts, however many share them."""
+    mounts = F.col("mounts")
+    if "lens_mount" in records.columns:
+        whole = F.when(F.coalesce("lens_mount", F.lit("")) != "", F.array("lens_mount")).otherwise(F.array().cast("array<string>"))
+        mounts = F.when(F.col("kind") == "camera", whole).otherwise(mounts)
+    keyed = checkpoint(records.select("ord", "id", "kind", F.col("manufacturer").alias("f"), F.coalesce("year", F.lit(0)).alias("year"), F.explode(F.array_distinct(F.transform(mounts, F.lower))).alias("m")))
+    b = keyed.select("m", F.when(F.col("kind") == "camera", "lens").otherwise("camera").alias("kind"), "f", F.col("year").alias("y"), "ord", "id")
+    few = b.withColumn("n", F.row_number().over(W.partitionBy("m", "kind", "f", "y").orderBy("ord"))).where(F.col("n") <= most).drop("n")
+    # by year, first rows of all makers: of twice as many, at most so many a maker, enough are left whatever maker is left out
+    wide = few.withColumn("n", F.row_number().over(W.partitionBy("m", "kind", "y").orderBy("ord"))).where(F.col("n") <= 2 * most).drop("n")
+    asked = keyed.select("m", "kind", "f", "year").distinct()
+    far = year_distance(F.col("y"), F.col("year"))
+    item = F.struct(far.alias("far"), "ord", "id")
+    top = lambda rows, n, *key: rows.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("item.far", "item.ord"))).where(F.col("n") <= n).drop("n")
+    # bounded by the number of years
+    by_maker = few.groupBy("m", "kind", "f").agg(F.collect_list(F.struct("y", "ord", "id")).alias("rows"))
+    own = asked.join(by_maker.withColumnRenamed("f", "g"), (asked["m"] == by_maker["m"]) & (asked["kind"] == by_maker["kind"]) & asked["f"].eqNullSafe(F.col("g"))).select(asked["m"], asked["kind"], "f", "year", "rows")
+    nearest = lambda r: F.struct(year_distance(r["y"], F.col("year")).alias("far"), r["ord"].alias("ord"), r["id"].alias("id"))
+    own = own.select("m", "kind", "f", "year", F.slice(F.array_sort(F.transform("rows", nearest)), 1, most).alias("same"))
+    others = asked.select("m", "kind", "year").distinct().join(wide.withColumnRenamed("f", "g"), ["m", "kind"]).select("m", "kind", "year", "g", item.alias("item"))
+    others = top(top(others, most, "m", "kind", "year", "g"), 2 * most, "m", "kind", "year")
+    others = others.groupBy("m", "kind", "year").agg(F.collect_list(F.struct("g", "item")).alias("rows"))
+    kept = F.filter("rows", lambda r: ~r["g"].eqNullSafe(F.col("f")))
+    both = asked.join(others, ["m", "kind", "year"], "left").select("m", "kind", "f", "year", F.transform(kept, lambda r: r["item"]).alias("others"))
+    same_key = (both["m"] == own["m"]) & (both["kind"] == own["kind"]) & (both["year"] == own["year"]) & both["f"].eqNullSafe(own["f"])
+    none = F.array().cast("array<struct<far:int,ord:bigint,id:string>>")
+    tagged = lambda c, other: F.transform(F.coalesce(c, none), lambda r: F.struct(F.lit(other).alias("other"), r["far"].cast("int").alias("far"), r["ord"].cast("bigint").alias("ord"), r["id"].alias("id")))
+    lists = both.join(own, same_key, "left").select(both["m"], both["kind"].alias("k"), both["f"].alias("g"), both["year"].alias("y"), F.concat(tagged(own["same"], 0), tagged(both["others"], 1)).alias("found")).where("size(found) > 0")
+    pairs = keyed.join(lists, (keyed["m"] == lists["m"]) & (keyed["kind"] == F.col("k")) & (keyed["year"] == F.col("y")) & keyed["f"].eqNullSafe(F.col("g")))
+    gathered = pairs.groupBy(keyed["id"]).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, most).alias("found"))
+    return gathered.select("id", F.posexplode("found").alias("rank", "r")).select("id", (F.col("rank") + 1).alias("rank"), F.col("r.id").alias("related"))

@@ -26,8 +26,8 @@ class Limits:
     per_token: int = 4
     variant: int = 3
     corrected: int = 10
-    #: Bytes of a token's beginning that prefix joins are keyed by.
-    key: int = 3
+    #: Lengths of the beginnings that prefix joins are keyed by: the longest that a string reaches.
+    keys: tuple[int, ...] = (1, 2, 3, 5, 8, 12, 18, 26, 40)
 
 
 def tokens_of(index: DataFrame) -> DataFrame:
@@ -35,36 +35,42 @@ def tokens_of(index: DataFrame) -> DataFrame:
     return index.select("n", "id", F.explode(F.array_distinct(F.split("n", " "))).alias("word"))
 
 
-def _keys(c: Column, size: int) -> Column:
-    """A string's beginnings of 1 to size characters: a prefix join is an equi-join on the shorter side's own beginning."""
-    return F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(size))), lambda i: F.substring(c, F.lit(1), i))
+def prefix_join(left: DataFrame, a: str, right: DataFrame, b: str, keys: tuple[int, ...]) -> DataFrame:
+    """Pairs where b begins with a, as an equi-join: b by its beginnings of all these lengths, a by its own beginning of the greatest of them that it reaches."""
+    of = F.array(*[F.when(F.length(b) >= k, F.substring(b, 1, k)) for k in keys])
+    keyed = right.select("*", F.explode(F.array_compact(of)).alias("_key"))
+    own = F.coalesce(*[F.when(F.length(a) >= k, F.substring(a, 1, k)) for k in reversed(keys)])
+    return left.withColumn("_key", own).join(keyed, "_key").where(F.startswith(F.col(b), F.col(a))).drop("_key")
 
 
-def prefix_join(left: DataFrame, a: str, right: DataFrame, b: str, size: int) -> DataFrame:
-    """Pairs where b begins with a."""
-    keyed = right.select("*", F.explode(_keys(F.col(b), size)).alias("_key"))
-    return left.withColumn("_key", F.substring(a, 1, size)).join(keyed, "_key").where(F.startswith(F.col(b), F.col(a))).drop("_key")
+FORM = ["query_id", "q", "offset", "label"]
 
 
 def prefix_hits(forms: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
-    """TS3. forms: query_id, q, offset, label. Exact 0, prefix 1."""
-    hits = prefix_join(forms, "q", index, "n", limits.key)
+    """TS3. forms: query_id, q, offset, label. Exact 0, prefix 1. Each text is looked up once, whoever asks for it."""
+    hits = prefix_join(forms.select("q").distinct(), "q", index, "n", limits.keys)
     if limits.prefix_scan is not None:
-        hits = hits.withColumn("_k", F.row_number().over(W.partitionBy("query_id", "q", "offset", "label").orderBy("n", "id"))).where(F.col("_k") <= limits.prefix_scan).drop("_k")
+        hits = hits.withColumn("_k", F.row_number().over(W.partitionBy("q").orderBy("n", "id"))).where(F.col("_k") <= limits.prefix_scan).drop("_k")
+    hits = forms.join(hits, "q")
     return hits.select("query_id", "n", "id", "kind", "shown", (F.col("offset") + F.when(F.col("n") == F.col("q"), 0).otherwise(1)).alias("tier"), "label")
 
 
 def cover_hits(forms: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
-    """TS4, TS5: every token begins some word of the alias; a lone token only where it covers few."""
-    toks = forms.select("query_id", "q", "offset", "label", F.size(F.split("q", " ")).alias("many"), F.explode(F.split("q", " ")).alias("tok")).distinct()
-    wanted = forms.select("query_id", "q", "offset", "label", F.size(F.array_distinct(F.split("q", " "))).alias("need"))
-    pairs = prefix_join(toks, "tok", tokens_of(index), "word", limits.key)
-    key = ["query_id", "q", "offset", "label"]
-    on = lambda a, b: [a[k].eqNullSafe(b[k]) for k in key]
-    found = pairs.groupBy(*key, "many", "n", "id").agg(F.countDistinct("tok").alias("got"))
-    whole = found.join(wanted.toDF(*[f"w_{c}" for c in wanted.columns]), [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in key]).where("got = w_need")
-    whole = whole.withColumn("size", F.count("*").over(W.partitionBy(*key))).where((F.col("many") > 1) | (F.col("size") <= limits.single_cover)).where(~F.startswith("n", "q"))
-    return whole.join(index, ["n", "id"]).select("query_id", "n", "id", "kind", "shown", (F.col("offset") + 2).alias("tier"), "label")
+    """TS4, TS5: every token begins some word of the alias; a lone token only where it covers few. Tokens meet the distinct words first; then only the postings of a text's rarest token are read, and
+    the others looked for in the aliases found."""
+    texts = forms.select("q").distinct().withColumn("toks", F.array_distinct(F.split("q", " ")))
+    toks = texts.select("q", F.size(F.split("q", " ")).alias("many"), F.size("toks").alias("need"), F.explode("toks").alias("tok"))
+    posted = tokens_of(index)
+    words = posted.groupBy("word").agg(F.count("*").alias("df"))
+    begun = prefix_join(toks.select("tok").distinct(), "tok", words, "word", limits.keys)
+    cost = begun.groupBy("tok").agg(F.sum("df").alias("cost"), F.collect_list("word").alias("words"))
+    rarest = toks.join(cost, "tok").groupBy("q", "many", "need").agg(F.count("*").alias("got"), F.min_by("words", F.struct("cost", "tok")).alias("words")).where("got = need")
+    near = rarest.select("q", "many", F.explode("words").alias("word")).join(posted, "word")
+    covers = F.forall(F.split("q", " "), lambda t: F.contains(F.concat(F.lit(" "), F.col("n")), F.concat(F.lit(" "), t)))
+    whole = near.where(covers).select("q", "many", "n", "id").distinct()
+    lone = whole.where("many = 1").groupBy("q").count().where(F.col("count") > limits.single_cover).select("q")
+    kept = whole.join(lone, "q", "left_anti").where(~F.startswith("n", "q")).join(index, ["n", "id"])
+    return forms.join(kept, "q").select("query_id", "n", "id", "kind", "shown", (F.col("offset") + 2).alias("tier"), "label")
 
 
 def expand(queries: DataFrame, offset: int, limits: Limits) -> DataFrame:
@@ -86,20 +92,23 @@ def corrections(literal: DataFrame, had_hits: DataFrame, vocab: DataFrame, limit
     """TS9. literal: query_id, q. query_id, raw: the query with one token replaced by a near word; the best few a token."""
     toks = literal.select("query_id", F.split("q", " ").alias("all"), F.posexplode(F.split("q", " ")).alias("pos", "tok")).where("length(tok) >= 3 and not tok rlike '^[0-9]+$'")
     distinct = toks.select("tok").distinct()
-    known = prefix_join(distinct, "tok", vocab.select("word"), "word", limits.key).select("tok").distinct().withColumn("known", F.lit(True))
+    known = prefix_join(distinct, "tok", vocab.select("word"), "word", limits.keys).select("tok").distinct().withColumn("known", F.lit(True))
     toks = toks.join(known, "tok", "left").join(had_hits.select("query_id", F.lit(True).alias("had")), "query_id", "left").where("not (coalesce(known, false) and coalesce(had, false))")
     most = F.when(F.length("tok") < 7, 1).otherwise(2)
     sized = distinct.withColumn("most", most).select("*", F.explode(F.sequence(F.length("tok") - F.col("most"), F.length("tok") + F.col("most"))).alias("len")).where("len >= 2")
     pairs = sized.join(vocab.select("word", F.length("word").alias("len")), "len").where((F.col("word") != F.col("tok")) & ((F.length("tok") >= 6) | (F.substring("tok", 1, 1) == F.substring("word", 1, 1)))).where(near(F.col("tok"), F.col("word"), F.col("most")))
     close = pairs.withColumn("d", osa_distance("tok", "word", "most")).where("d > 0 and d <= most")
-    best = close.withColumn("k", F.row_number().over(W.partitionBy("tok").orderBy("d", F.substring("word", 1, 1) != F.substring("tok", 1, 1), F.length("word"), "word"))).where(F.col("k") <= limits.per_token)
+    # of equal distances by first letter (letters before digits; others aren't looked for), then length
+    letter = F.instr(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), F.substring("word", 1, 1))
+    letter = F.when(F.length("tok") < 6, 1).otherwise(letter)
+    best = close.where(letter > 0).withColumn("k", F.row_number().over(W.partitionBy("tok").orderBy("d", letter, F.length("word"), "word"))).where(F.col("k") <= limits.per_token)
     made = toks.join(best, "tok").select("query_id", F.array_join(F.transform("all", lambda w, i: F.when(i == F.col("pos"), F.col("word")).otherwise(w)), " ").alias("raw"))
     return made.distinct()
 
 
 def rank(hits: DataFrame, meta: DataFrame, limit: int, limits: Limits) -> DataFrame:
     """TS10 to TS12. meta: id, name, confidence."""
-    order = [F.col("tier"), F.length("n"), F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "low", 2).otherwise(1), F.when(F.col("kind") == "camera", 0).otherwise(1), F.lower("name"), F.col("n"), F.coalesce("label", F.lit(""))]
+    order = [F.col("tier"), F.length("n"), F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "low", 2).otherwise(1), F.when(F.col("kind") == "camera", 0).otherwise(1), F.collate("name", "UNICODE"), F.col("n"), F.coalesce("label", F.lit(""))]
     named = hits.join(meta, "id", "left").withColumn("name", F.coalesce("name", F.lit("")))
     best = named.withColumn("k", F.row_number().over(W.partitionBy("query_id", "id").orderBy(*order))).where("k = 1")
     placed = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order[:5], "id"))).where(F.col("rank") <= limit)

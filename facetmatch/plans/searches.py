@@ -22,11 +22,11 @@ pre AS (SELECT query_id, {TYPE("array_to_string(string_split(query, ' ')[1:2], '
 def literal(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
     q = testdata.match_queries(spark, sf_dir)
     text = F.col("query") if words is None else F.array_join(F.slice(F.split("query", " "), 1, words), " ")
-    return q.select("query_id", type_normalize(text).alias("q"), F.lit(0).alias("offset"), F.lit(None).cast("string").alias("label")).where("q <> ''")
+    return checkpoint(q.select("query_id", type_normalize(text).alias("q"), F.lit(0).alias("offset"), F.lit(None).cast("string").alias("label"))).where("q <> ''")
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_rows_of(testdata.asset(spark, sf_dir))
+    return checkpoint(index_rows_of(testdata.asset(spark, sf_dir)))
 
 
 @query(BASE + " SELECT query_id, n, id, CASE WHEN n = q THEN 0 ELSE 1 END AS tier FROM pre JOIN idx ON starts_with(n, q)")
@@ -64,4 +64,4 @@ def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TS1 to TS12, with rewritings and corrections."""
     q = testdata.match_queries(spark, sf_dir).select("query_id", F.col("query").alias("raw"))
-    return search.search_batch(q, checkpoint(index_of(spark, sf_dir)), testdata.records(spark, sf_dir).select("id", "name", "confidence"))
+    return search.search_batch(q, index_of(spark, sf_dir), testdata.records(spark, sf_dir).select("id", "name", "confidence"))

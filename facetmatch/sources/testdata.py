@@ -58,8 +58,8 @@ def asset(spark: SparkSession, sf_dir: str) -> Asset:
 def match_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, query, kind: for each user of events a part's name, the third word dropped, or two letters of the second swapped for odd users."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    part = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat_ws(' ', p_brand, p_name, p_type, cast(p_size AS string)) AS name", "count(*) OVER () AS n")
-    joined = users.join(part, F.expr("p_partkey = (user_id * 13) % n"))
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat_ws(' ', p_brand, p_name, p_type, cast(p_size AS string)) AS name")
+    joined = users.withColumn("p_partkey", F.col("user_id") * 13 % F.lit(max(1, part.count()))).join(part, "p_partkey")
     return joined.selectExpr(
         "user_id AS query_id",
         "CASE WHEN user_id % 2 = 0 THEN array_join(concat(slice(split(name, ' '), 1, 2), slice(split(name, ' '), 4, 99)), ' ') ELSE regexp_replace(name, '^(\\\\S+ .)(.)(.)', '$1$3$2') END AS query",
