@@ -11,9 +11,10 @@ from facetmatch.functions.similarity import WEIGHTS, osa_distance, trigrams
 from facetmatch.functions.text import digits_of, match_normalize, words_of
 from facetmatch.operators import matching
 from facetmatch.operators.matching import Policy
-from facetmatch.operators.catalog import Catalog, stored
+from facetmatch.operators.catalog import stored
 from facetmatch.plans.catalog import CTE, entries_of
 from facetmatch.registry import query
+from facetmatch.session import checkpoint
 from facetmatch.sources import testdata
 
 QUERY_SQL = r""", users AS (SELECT DISTINCT user_id FROM events), np AS (SELECT count(*) AS n FROM part),
@@ -31,12 +32,12 @@ PLAIN = PLAIN.replace("{broad}", "2000")
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query as it is, without variants."""
     q = testdata.match_queries(spark, sf_dir)
-    return q.select("query_id", "kind", F.lit(0).alias("pos"), match_normalize(F.col("query")).alias("norm"))
+    return checkpoint(q.select("query_id", "kind", F.lit(0).alias("pos"), match_normalize(F.col("query")).alias("norm")))
 
 
 @query(PLAIN + " SELECT query_id, ord, shared, nth FROM cand")
 def candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.candidates(forms(spark, sf_dir), entries_of(spark, sf_dir), Policy()).select("query_id", "ord", "shared", "nth")
+    return matching.candidates(forms(spark, sf_dir), stored(entries_of(spark, sf_dir)), Policy()).select("query_id", "ord", "shared", "nth")
 
 
 SCORED = PLAIN + f""", g AS (SELECT e.ord, e.norm, e.tokens, {S.grams(S.norm('e.norm'))} AS eg, {S.digits('e.norm')} AS ed FROM entries e),
@@ -51,27 +52,22 @@ s AS (SELECT query_id, ord, nth, 1 / (1 + exp(-({WEIGHTS[0]} + {WEIGHTS[1]} * f1
 
 @query(SCORED + " SELECT query_id, ord, round(s, 6) AS score FROM s")
 def score_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.scored_candidates(forms(spark, sf_dir), entries_of(spark, sf_dir), Policy()).select("query_id", "ord", F.round("s", 6).alias("score"))
+    return matching.scored_candidates(forms(spark, sf_dir), stored(entries_of(spark, sf_dir)), Policy()).select("query_id", "ord", F.round("s", 6).alias("score"))
 
 
 @query(SCORED + ", b AS (SELECT query_id, max(round(s, 9)) AS s FROM s GROUP BY query_id) SELECT q.query_id, round(coalesce(s, 0), 6) AS score, CASE WHEN coalesce(s, 0) < 0.45 THEN 'no-match' WHEN s >= 0.9 THEN 'auto' ELSE 'review' END AS decision FROM q LEFT JOIN b USING (query_id)")
 def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM9, BM17, without variants and gates."""
     f = forms(spark, sf_dir)
-    best = matching.scored_candidates(f, entries_of(spark, sf_dir), Policy()).groupBy("query_id").agg(F.max(F.round("s", 9)).alias("s"))
+    best = matching.scored_candidates(f, stored(entries_of(spark, sf_dir)), Policy()).groupBy("query_id").agg(F.max(F.round("s", 9)).alias("s"))
     s = F.coalesce("s", F.lit(0.0))
     return f.select("query_id").join(best, "query_id", "left").select("query_id", F.round(s, 6).alias("score"), F.when(s < 0.45, "no-match").when(s >= 0.9, "auto").otherwise("review").alias("decision"))
 
 
-def scaled(catalog: Catalog) -> Policy:
-    """The bound on broad tokens grows with the catalogue, as its words here are few."""
-    return Policy(broad=max(2000, catalog.entries.count() // 6))
-
-
 @query()
 def match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = stored(entries_of(spark, sf_dir))
-    return matching.match_batch(testdata.match_queries(spark, sf_dir), catalog, scaled(catalog))
+    return matching.match_batch(testdata.match_queries(spark, sf_dir), catalog)
 
 
 @query()
