@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from facetmatch.functions.text import fold
+from facetmatch.functions.text import fold, slugify
 
 DOT = " · "
 TRAITS = sorted("magazine aerial instant-print press panoramic underwater movie toy detective stereo subminiature motorized folding point-and-shoot".split())
@@ -23,20 +23,18 @@ def joined(sep: str, *parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), sep)
 
 
-def facts_line(kind: Column, film: Column, traits: Column, body: Column, mounts: Column) -> Column:
-    """FMT2: what it takes with its traits, then its type; for a lens, mounts and type. Never the year."""
-    camera = joined(DOT, joined(" ", film, F.array_join(traits, " ")), body)
-    return F.when(kind == "lens", joined(DOT, F.array_join(mounts, ", "), body)).otherwise(camera)
+def body_label(body: Column) -> Column:
+    return F.when(body == "slr", "SLR").when(body == "tlr", "TLR").when(body == "pseudo-tlr", "Pseudo TLR").otherwise(cap(body))
 
 
-def facts_traits(traits: Column, body: Column) -> Column:
-    """FMT3: at most two, in the vocabulary's order; point-and-shoot says nothing beside compact."""
-    known = F.filter(F.array(*map(F.lit, TRAITS)), lambda t: F.array_contains(traits, t) & ~((t == "point-and-shoot") & (F.coalesce(body, F.lit("")) == "compact")))
-    return F.slice(known, 1, 2)
+def trait_label(trait: Column) -> Column:
+    return F.when(trait == "point-and-shoot", "Point & shoot").otherwise(cap(trait))
 
 
-def body_label(body: Column) -> Column:
-    return F.when(body == "slr", "SLR").when(body == "tlr", "TLR").when(body == "pseudo-tlr", "Pseudo TLR").otherwise(F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 99)))
+def facts_traits(traits: Column, body: Column) -> Column:
+    """FMT3: at most two, in the vocabulary's order, as labels for within a line; point-and-shoot says nothing beside compact."""
+    known = F.filter(F.array(*map(F.lit, TRAITS)), lambda t: F.array_contains(traits, t) & ~((t == "point-and-shoot") & (F.coalesce(body, F.lit("")) == "compact")))
+    return F.transform(F.slice(known, 1, 2), lambda t: case_for_line(trait_label(t)))
 
 
 def case_for_line(label: Column) -> Column:
@@ -49,45 +47,95 @@ def number(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
-def camera_facts(medium: Column, film: Column, megapixels: Column, body: Column, traits: Column) -> Column:
-    """FMT2 for real records: digital ones by sensor, film ones by format and traits."""
-    label = case_for_line(body_label(body))
-    digital = joined(DOT, F.when(body.isNotNull(), F.concat(F.lit("Digital "), label)).otherwise(F.lit("Digital")), F.when(megapixels.isNotNull(), F.concat(number(megapixels), F.lit("MP"))))
-    return F.when(medium == "digital", digital).otherwise(joined(DOT, joined(" ", film, F.array_join(facts_traits(traits, body), " ")), label))
+def known(x: Column) -> Column:
+    """Null for 0."""
+    return F.nullif(x, F.lit(0.0))
+
+
+def film_format(d) -> Column:
+    return F.when(d("format") != "digital", d("format"))
+
+
+def fixed_lens_facts(d) -> Column:
+    """Focal length, zoom if it is a range, and aperture, of a fixed lens; null without one."""
+    fl = d("fixed_lens")
+    length = focal(fl["focal_length"], fl["focal_min_mm"], fl["focal_max_mm"])
+    zoom = F.when(known(fl["focal_min_mm"]).isNotNull() & known(fl["focal_max_mm"]).isNotNull() & (fl["focal_min_mm"] != fl["focal_max_mm"]), F.concat(length, F.lit(" zoom"))).otherwise(length)
+    return F.when(fl.isNotNull(), joined(" ", zoom, fl["max_aperture"]))
+
+
+def facts_line(kind: Column, d) -> Column:
+    """FMT2. d: a function from a field's name to its column. Never the year."""
+    label = case_for_line(body_label(d("body_type")))
+    mp = known(d("sensor_resolution_mp"))
+    digital = joined(DOT, F.concat(F.lit("Digital "), F.coalesce(F.nullif(label, F.lit("")), F.lit("camera"))), F.when(mp.isNotNull(), F.concat(number(mp), F.lit("MP"))))
+    front = F.concat(F.array(film_format(d)), facts_traits(F.coalesce(d("traits"), F.array().cast("array<string>")), d("body_type")))
+    film = joined(DOT, F.array_join(F.filter(front, lambda x: x != ""), " "), label, fixed_lens_facts(d))
+    lens = joined(DOT, joined(" ", focal(d("focal_length"), d("focal_min_mm"), d("focal_max_mm")), d("max_aperture")), F.try_element_at(d("mounts"), F.lit(1)))
+    return F.when(kind == "lens", lens).when(d("medium") == "digital", digital).otherwise(film)
 
 
 def focal(raw: Column, low: Column, high: Column, sep: str = "–") -> Column:
-    """FMT1: the numeric range first; else cm as mm, spaced mm, a bare number as mm, or as it is."""
-    cm = F.regexp_extract(raw, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*cm\s*$", 1)
-    ranged = F.when(low == high, F.concat(number(low), F.lit(" mm"))).otherwise(F.concat(number(low), F.lit(sep), number(high), F.lit(" mm")))
+    """FMT1: the range if both ends are known; else cm as mm, mm without a blank, a bare number as mm, or as it is."""
+    one = lambda x: number(F.round(x, 1))
+    low, high = known(low), known(high)
+    text = F.trim(raw)
+    cm = F.regexp_extract(text, r"(?i)^([0-9]+(?:\.[0-9]+)?)\s*cm$", 1)
     return (
-        F.when(low.isNotNull() & high.isNotNull(), ranged).when(low.isNotNull(), F.concat(number(low), F.lit(" mm"))).when(raw.isNull(), F.lit(""))
-        .when(cm != "", F.concat(number(F.round(cm.try_cast("double") * 10, 3)), F.lit(" mm")))
-        .when(raw.rlike(r"^\s*[0-9]+(\.[0-9]+)?\s*$"), F.concat(F.trim(raw), F.lit(" mm")))
-        .otherwise(F.trim(F.regexp_replace(raw, r"([0-9])\s*mm(?![A-Za-z0-9_])", "$1 mm")))
+        F.when(low.isNotNull() & high.isNotNull() & (low == high), F.concat(one(low), F.lit("mm")))
+        .when(low.isNotNull() & high.isNotNull(), F.concat(one(low), F.lit(sep), one(high), F.lit("mm")))
+        .when(raw.isNull() | (raw == ""), F.lit("")).when(cm != "", F.concat(one(cm.try_cast("double") * 10), F.lit("mm")))
+        .when(text.rlike(r"(?i)mm$"), F.regexp_replace(text, r"(?i)\s*mm$", "mm")).when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.concat(text, F.lit("mm"))).otherwise(text)
     )
 
 
+def spaced_focal(d) -> Column:
+    return F.regexp_replace(focal(d("focal_length"), d("focal_min_mm"), d("focal_max_mm"), " – "), "mm$", " mm")
+
+
 def mounts_of(kind: Column, lens_mount: Column, mounts: Column) -> Column:
     """FMT5."""
-    split = F.filter(F.transform(F.split(F.coalesce(lens_mount, F.lit("")), ","), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split(F.coalesce(lens_mount, F.lit("")), ","), lambda m: F.trim(m)), lambda x: x != "")
     return F.when(kind == "camera", split).otherwise(F.coalesce(mounts, F.array().cast("array<string>")))
 
 
 def years_range(first: Column, last: Column) -> Column:
-    """FMT7; 0 and null are unknown."""
+    """FMT7; 0 and null are unknown, and a last year alone says nothing."""
     a, b = F.nullif(first, F.lit(0)), F.nullif(last, F.lit(0))
-    return F.when(a.isNull() & b.isNull(), F.lit("")).when(a.isNull(), F.concat(F.lit("–"), b)).when(b.isNull(), a.cast("string")).when(a == b, a.cast("string")).otherwise(F.concat(a, F.lit("–"), b))
+    return F.when(a.isNull(), F.lit("")).when(b.isNull(), a.cast("string")).otherwise(F.concat(a, F.lit(" – "), b))
 
 
 def aperture_range(widest: Column, smallest: Column) -> Column:
-    return joined("–", widest, smallest)
+    return F.when(F.coalesce(widest, F.lit("")) == "", F.lit("")).otherwise(joined(" – ", widest, smallest))
 
 
 def cap(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 9999))
 
 
+def type_bits(d) -> Column:
+    return joined(" ", film_format(d), body_label(d("body_type")))
+
+
+def takes(d) -> Column:
+    """What goes into it: '' if the medium isn't known."""
+    film = F.coalesce(F.concat(F.nullif(film_format(d), F.lit("")), F.lit(" film")), F.lit("film"))
+    return F.when(F.coalesce(d("medium"), F.lit("")) == "", F.lit("")).when(d("medium") == "film", film).otherwise(d("medium"))
+
+
+def medium_full(d) -> Column:
+    frame = F.nullif(d("frame_size"), F.lit(""))
+    return F.when(takes(d) != "", joined(DOT, takes(d), F.concat(frame, F.lit(" frame")))).otherwise("")
+
+
+def battery_text(d) -> Column:
+    return F.coalesce(F.array_join(d("batteries"), " / "), F.lit(""))
+
+
+def lens_glance(d) -> Column:
+    return F.when(F.coalesce(d("lens_mount"), F.lit("")) != "", d("lens_mount")).when(d("fixed_lens").isNotNull(), joined(DOT, F.lit("Fixed"), d("fixed_lens")["max_aperture"])).otherwise("")
+
+
 def hazards(film: Column, batteries: Column) -> Column:
     """HZ1, HZ2: an array of struct kind, detail."""
     key = F.lower(F.trim(F.coalesce(film, F.lit(""))))
@@ -144,24 +192,72 @@ def search_key(c: Column) -> Column:
     return fold(c)
 
 
-def spec_rows(pairs: list[tuple[str, Column]]) -> Column:
-    """DT4: label and value of what is known, in the order given."""
+def _rows(pairs: list[tuple[str, Column]]) -> Column:
+    """label and value of what is known, in the order given."""
     rows = F.array(*[F.struct(F.lit(label).alias("label"), value.cast("string").alias("value")) for label, value in pairs])
     return F.filter(rows, lambda r: r["value"].isNotNull() & (r["value"] != ""))
 
 
-def first_facts(rows: Column, priority: list[str], most: int) -> Column:
-    """DT5: the first few labels of a priority that are known."""
-    ordered = F.flatten(F.transform(F.array(*map(F.lit, priority)), lambda p: F.filter(rows, lambda r: r["label"] == p)))
-    return F.slice(ordered, 1, most)
-
-
-def advice(good: Column, poor: Column) -> Column:
-    """DT6: null unless both sides say something."""
-    return F.when((F.size(good) > 0) & (F.size(poor) > 0), F.concat(F.lit("Good for "), F.array_join(good, ", "), F.lit("; less so for "), F.array_join(poor, ", "), F.lit(".")))
-
-
-def browse_links(kind: Column, pairs: list[tuple[str, Column]]) -> Column:
-    """DT7: a link into browsing for each known value."""
-    made = [F.when(v.isNotNull() & (v != ""), F.concat(F.lit("#/browse?kind="), kind, F.lit(f"&{k}="), F.url_encode(v))) for k, v in pairs]
-    return F.array_compact(F.array(*made))
+def spec_rows(kind: Column, d) -> Column:
+    """DT4."""
+    text = lambda c: F.nullif(c, F.lit(""))
+    fl, mp = d("fixed_lens"), known(d("sensor_resolution_mp"))
+    fixed = joined(DOT, F.trim(F.regexp_replace(F.coalesce(fl["name"], F.lit("")), r"\s*-\s*$", "")), focal(fl["focal_length"], fl["focal_min_mm"], fl["focal_max_mm"]), fl["max_aperture"])
+    mount = text(d("lens_mount"))
+    metering = F.when(d("metered") != 0, joined(DOT, F.lit("Metered"), F.concat(text(d("meter_type")), F.lit(" meter")))).when(d("metered") == 0, "Unmetered")
+    camera = _rows([
+        ("Type", type_bits(d)), ("Traits", F.array_join(F.transform(d("traits"), trait_label), ", ")), ("Medium · Format", medium_full(d)), ("Lens mount", mount), ("Fixed lens", F.when(mount.isNull() & fl.isNotNull(), fixed)),
+        ("Shutter", cap(d("shutter_type"))), ("Speeds", d("shutter_speeds")), ("Metering", metering), ("Battery", battery_text(d)),
+        ("Sensor", joined(DOT, F.when(mp.isNotNull(), F.concat(number(mp), F.lit(" MP"))), d("sensor_tech"), d("sensor_size"))), ("Country", d("country")), ("Years", years_range(d("year_introduced"), d("year_discontinued"))),
+    ])
+    lens = _rows([
+        ("Mount", F.array_join(d("mounts"), ", ")), ("Focal length", spaced_focal(d)), ("Type", cap(d("lens_type"))), ("Aperture", aperture_range(d("max_aperture"), d("min_aperture"))),
+        ("Filter size", F.concat(text(d("filter_size")), F.lit(" mm"))), ("Elements / groups", d("elements_groups")), ("Min focus", d("min_focus")), ("Years", years_range(d("year_introduced"), d("year_discontinued"))),
+    ])
+    return F.when(kind == "lens", lens).otherwise(camera)
+
+
+def facts(kind: Column, d, band: bool = False) -> Column:
+    """DT5: the first four facts at a glance; band: the first three of the header's order, which has the frame."""
+    more = F.size(d("mounts")) - 1
+    mount = F.when(more > 0, F.concat(d("mounts")[0], F.lit(" +"), more.cast("string"))).otherwise(F.try_element_at(d("mounts"), F.lit(1)))
+    lens = _rows([("Mount", mount), ("Focal", spaced_focal(d)), ("Aperture", aperture_range(d("max_aperture"), d("min_aperture"))), ("Type", cap(d("lens_type")))])
+    camera = _rows([("Takes", takes(d)), *([("Frame", d("frame_size"))] * band), ("Battery", battery_text(d)), ("Lens", lens_glance(d)), ("Type", type_bits(d))])
+    return F.slice(F.when(kind == "lens", lens).otherwise(camera), 1, 3 if band else 4)
+
+
+def advice(kind: Column, d) -> Column:
+    """DT6: struct shooting, checking, each of sentences from recorded fields; null unless both sides say something."""
+    say = lambda before, x, after: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(before), x, F.lit(after)))
+    mp, cells, speeds, metered = known(d("sensor_resolution_mp")), battery_text(d), F.nullif(d("shutter_speeds"), F.lit("")), d("metered")
+    fl, widest = d("fixed_lens"), d("max_aperture")
+    camera = joined(
+        " ", F.when(d("medium") == "film", say("Takes ", takes(d), ".")).when(d("medium") == "digital", F.coalesce(F.concat(F.lit("Captures digitally, "), number(mp), F.lit(" MP.")), F.lit("Captures digitally."))),
+        F.when(F.lower(cells) == "none", "No battery required — it runs mechanically.").otherwise(say("Runs on ", cells, ".")), say("Shutter speeds: ", speeds, "."),
+        F.when(metered == 0, "Unmetered — bring a separate meter.").when(metered == 1, F.coalesce(say("Built-in ", d("meter_type"), " meter."), F.lit("Built-in meter."))),
+    )
+    camera_check = joined(
+        " ", F.coalesce(say("Interchangeable ", d("lens_mount"), " mount — confirm the lens on it separately."), F.when(fl.isNotNull(), F.coalesce(say("Fixed ", fl["max_aperture"], " lens — no aperture ring to inspect."), F.lit("Fixed lens — no aperture ring to inspect.")))),
+        F.when(speeds.isNotNull(), "Confirm every listed shutter speed fires."), F.when(F.array_contains(d("traits"), "folding"), "Folding body — check the bellows for light leaks and the struts for play."),
+    )
+    lens = joined(" ", say("", spaced_focal(d), " focal length."), say("Maximum aperture ", widest, "."), say("A ", cap(d("lens_type")), " lens."))
+    many = F.concat(F.lit("Sold in "), F.size(d("mounts")).cast("string"), F.lit(" mounts ("), F.array_join(d("mounts"), ", "), F.lit(") — confirm which one this is."))
+    lens_check = joined(
+        " ", F.when(F.size(d("mounts")) > 1, many).otherwise(say("", F.try_element_at(d("mounts"), F.lit(1)), " mount — confirm fit before buying.")),
+        F.when(F.coalesce(widest, F.lit("")) != "", "Run the aperture ring through its full range and check the blades for oil."), say("", d("elements_groups"), " elements/groups — count them against the glass."),
+    )
+    a, b = (F.when(kind == "lens", x).otherwise(y) for x, y in ((lens, camera), (lens_check, camera_check)))
+    return F.when((a != "") & (b != ""), F.struct(a.alias("shooting"), b.alias("checking")))
+
+
+def browse_links(kind: Column, d) -> Column:
+    """DT7: struct href, label for each recorded field that browsing has a facet for."""
+    link = lambda key, value, label: F.when(F.coalesce(value, F.lit("")) != "", F.struct(F.concat(F.lit(f"#/browse?{key}="), F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))).alias("href"), label.alias("label")))
+    none = F.array().cast("array<struct<href:string,label:string>>")
+    mounts = lambda c: F.transform(c, lambda m: link("mount", slugify(m), m))
+    camera = F.concat(
+        F.array(link("format", film_format(d), film_format(d)), link("body", d("body_type"), body_label(d("body_type")))), F.coalesce(F.transform(d("traits"), lambda t: link("traits", t, trait_label(t))), none),
+        F.array(link("medium", d("medium"), cap(d("medium"))), link("mount", slugify(d("lens_mount")), d("lens_mount"))),
+    )
+    rest = F.array(link("manufacturer", slugify(d("manufacturer")), d("manufacturer")))
+    return F.array_compact(F.concat(F.when(kind == "lens", F.coalesce(mounts(d("mounts")), none)).otherwise(camera), rest))

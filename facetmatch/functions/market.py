@@ -6,32 +6,34 @@ from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: brand -> groups of words of one meaning; u, i, e, j: the market.
+#: brand -> groups of words of one meaning, in order; u, i, e, j: the market.
 TOKENS = {
-    "canon": ["u:sure shot i:prima j:autoboy"],
-    "exakta": ["i:varex u:vx"],
-    "ihagee": ["i:varex u:vx"],
-    "minolta": ["u:maxxum i:dynax j:alpha", "u:freedom i:riva j:capios"],
+    "minolta": ["u:freedom i:riva j:capios", "u:maxxum e:dynax j:alpha"],
+    "pentax": ["u:iqzoom i:espio", "u:zx i:mz"],
+    "olympus": ["u:stylus i:mju"],
     "nikon": ["i:nikkormat j:nikomat"],
-    "olympus": ["i:mju u:stylus"],
-    "pentax": ["i:mz u:zx", "i:espio u:iqzoom"],
-    "ricoh": ["i:kr u:xr"],
-    "samsung": ["i:af zoom u:maxima j:vega"],
+    "canon": ["u:sure shot e:prima j:autoboy"],
+    "exakta": ["u:vx i:varex"],
+    "ihagee": ["u:vx i:varex"],
+    "samsung": ["u:maxima i:af zoom e:vega"],
+    "ricoh": ["u:kr i:xr"],
 }
 
-#: brand -> whole models: American name, then the international one (= eu or jp where marked).
+#: brand -> whole models, in order: American name, then the international one; where markets are marked, as marked.
 MODELS = {
-    "canon": """a2=eos 5;a2e=eos 5;digital rebel=eos 300d;elan=eos 100;elan 7=eos 30;elan 7e=eos 30;elan 7n=eos 30v;elan 7ne=eos 30v;elan ii=eos 50;elan iie=eos 50e;rebel 2000=eos 300;rebel g=eos 500n;rebel gii=eos 500n;
-        rebel ii=eos 1000fn;rebel k2=eos 3000v;rebel s=eos 1000f;rebel sii=eos 1000fn;rebel sl1=eos 100d;rebel sl2=eos 200d;rebel sl3=eos 250d;rebel t1i=eos 500d;rebel t2=eos 300x;rebel t2i=eos 550d;rebel t3=eos 1100d;
-        rebel t3i=eos 600d;rebel t4i=eos 650d;rebel t5=eos 1200d;rebel t5i=eos 700d;rebel t6=eos 1300d;rebel t6i=eos 750d;rebel t6s=eos 760d;rebel t7=eos 2000d;rebel t7i=eos 800d;rebel ti=eos 300v;rebel x=eos 500;
-        rebel xsi=eos 450d;rebel xt=eos 350d;rebel xti=eos 400d""",
-    "fuji": "discovery=dl",
-    "minolta": """maxxum 7000=j:alpha 7000;maxxum 9000=j:alpha 9000;srt-102=srt-303;srt-201=srt-101b;srt-202=srt-303;x-370=x-300;x-370s=x-300s;x-570=x-500;xd-11=xd-7;xe-7=xe-1;xg-7=xg-2;xg-9=xg-s;
-        freedom zoom 125=riva zoom 125=j:capios 125s;freedom zoom 140ex=riva zoom 140ex=j:capios 140;freedom zoom 150=riva zoom 150=j:capios 150;freedom zoom explorer 70w=riva zoom 70w=j:capios 25;freedom zoom explorer ex=riva zoom 75w=j:capios 75""",
-    "nikon": "n2000=f301;n2020=f501;n4004=f401;n4004s=f401s;n50=f50;n5005=f401x;n55=f55;n60=f60;n6000=f601m;n6006=f601;n65=f65;n70=f70;n75=f75;n80=f80;n8008=f801;n8008s=f801s;n90=f90;n90s=f90x",
-    "olympus": "infinity stylus=mju-i;infinity stylus epic=mju-ii;stylus 100 wide=mju-iii wide 100;stylus epic=mju-ii;stylus epic zoom 170=mju-ii 170;stylus zoom 105=mju zoom 105;stylus zoom 115=mju zoom 115",
-    "pentax": "iqzoom 115v=espio 115m;iqzoom 70xl=espio af zoom;program plus=program a;super program=super a",
-    "yashica": "imagination micro=micro elite;sensation zoom=microtec zoom",
+    "nikon": "n50=f50;n55=f55;n60=f60;n65=f65;n70=f70;n75=f75;n80=f80;n90=f90;n90s=f90x;n2000=f301;n2020=f501;n4004=f401;n4004s=f401s;n5005=f401x;n6000=f601m;n6006=f601;n8008=f801;n8008s=f801s",
+    "canon": """rebel 2000=eos 300;rebel ti=eos 300v;rebel t2=eos 300x;rebel k2=eos 3000v;rebel g=eos 500n;rebel gii=eos 500n;rebel x=eos 500;rebel s=eos 1000f;rebel sii=eos 1000fn;rebel ii=eos 1000fn;elan=eos 100;
+        elan ii=eos 50;elan iie=eos 50e;elan 7=eos 30;elan 7e=eos 30;elan 7n=eos 30v;elan 7ne=eos 30v;a2=eos 5;a2e=eos 5;digital rebel=eos 300d;rebel xt=eos 350d;rebel xti=eos 400d;rebel xsi=eos 450d;
+        rebel t1i=eos 500d;rebel t2i=eos 550d;rebel t3i=eos 600d;rebel t3=eos 1100d;rebel t4i=eos 650d;rebel t5i=eos 700d;rebel t5=eos 1200d;rebel sl1=eos 100d;rebel t6=eos 1300d;rebel t6i=eos 750d;
+        rebel t6s=eos 760d;rebel t7=eos 2000d;rebel t7i=eos 800d;rebel sl2=eos 200d;rebel sl3=eos 250d""",
+    "minolta": """x-570=x-500;x-370=x-300;x-370s=x-300s;xd-11=xd-7;xe-7=xe-1;xg-7=xg-2;xg-9=xg-s;srt-102=srt-303;srt-202=srt-303;srt-201=srt-101b;maxxum 7000=j:alpha 7000;maxxum 9000=j:alpha 9000;
+        i:riva zoom 70w=u:freedom zoom explorer 70w=j:capios 25;i:riva zoom 75w=u:freedom zoom explorer ex=j:capios 75;i:riva zoom 140ex=u:freedom zoom 140ex=j:capios 140;
+        i:riva zoom 150=u:freedom zoom 150=j:capios 150;i:riva zoom 125=u:freedom zoom 125=j:capios 125s""",
+    "pentax": "super program=super a;program plus=program a;iqzoom 70xl=espio af zoom;iqzoom 115v=espio 115m",
+    "yashica": "sensation zoom=microtec zoom;imagination micro=micro elite",
+    "olympus": """i:mju-ii=u:stylus epic;i:mju-ii=u:infinity stylus epic;i:mju-i=u:infinity stylus;i:mju zoom 105=u:stylus zoom 105;i:mju zoom 115=u:stylus zoom 115;i:mju-ii 170=u:stylus epic zoom 170;
+        i:mju-iii wide 100=u:stylus 100 wide""",
+    "fuji": "i:dl=u:discovery",
 }
 MARKETS = {"u": "us", "i": "intl", "e": "eu", "j": "jp"}
 
@@ -72,12 +74,13 @@ def token_swaps(brand: str) -> list[tuple[str, str]]:
 
 
 def model_map(brand: str) -> dict[str, list[str]]:
-    """MK5: ordered pairs; a name's later group replaces the earlier."""
+    """MK5: ordered pairs, hyphens as spaces; a name of several groups leads to each."""
     out: dict[str, list[str]] = {}
-    for line in MODELS.get(brand, "").split(";") if brand in MODELS else []:
+    flat = lambda t: t.replace("-", " ")
+    for line in MODELS[brand].split(";") if brand in MODELS else []:
         for a, b in permutations([t for _, t in _models(line)], 2):
             if a != b:
-                out[a] = [b]
+                out.setdefault(flat(a), []).append(flat(b))
     return out
 
 

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 VIAS = ("name", "market", "superseded", "shorthand", "punctuation", "correction", "maker")
 MARKETS = ("us", "intl", "eu", "jp")
 EXPOSURE = ("manual", "semi-auto", "aperture-priority", "shutter-priority", "program", "auto", "bulb")
+OPTICS = ("mount", "focal_length", "focal_min_mm", "max_aperture", "min_aperture", "filter_size", "elements_groups", "min_focus", "lens_type")
+#: What isn't a company: prefixes of lenses, halves of names, and stand-ins.
+NO_MAKER = {
+    "prefix": "af|apo|auto|colou?r|ed|hd|macro|mc|mf|ms|multi|new|re|reflex|sc|shmc|smc|super|tele|wide|zoom|мс",
+    "half": "as|au|aus|carl|ernst|la|nippon|voigt",
+    "placeholder": r"inconnue?|n/a|nanars|sans marque|unknown|-+|\\?+",
+}
 TAKES_VIA = ("adapter", "back", "insert", "mask", "respool")
 
 
@@ -29,11 +36,13 @@ def record_rules(columns: set[str], body_types: tuple[str, ...], traits: tuple[s
         "mounts.comma": ("mounts", "exists(mounts, m -> contains(m, ','))"),
         "mount.joined": ("mount mounts", "mount IS NOT NULL AND mounts IS NOT NULL AND mount <> array_join(mounts, ', ')"),
         "recommended_name.missing": ("recommended_name", "recommended_name IS NULL OR recommended_name = ''"),
-        "lens.no-optics": ("focal_length max_aperture lens_type", "kind = 'lens' AND coalesce(focal_length, max_aperture, lens_type) IS NULL"),
+        "lens.no-optics": ("focal_length max_aperture lens_type", "kind = 'lens' AND " + " AND ".join(f"nullif(cast({c} AS string), '') IS NULL" for c in OPTICS if c in columns)),
         "lens.doubled-brand": ("manufacturer", r"kind = 'lens' AND name RLIKE '(?i)^([a-z]+) +\\1( |$)'"),
-        "manufacturer.placeholder": ("manufacturer", "lower(trim(manufacturer)) IN ('', 'unknown', 'various', 'n/a', 'none', '-', '?')"),
-        "name.decimal-comma": ("name", "name RLIKE '[0-9],[0-9]'"),
-        "name.replacement-character": ("name", "contains(name, '�')"),
+        "record.index-page": ("name", r"name RLIKE '(?i)(?<![A-Za-z0-9_])(lenses|cameras|lens mounts?)$'"),
+        **{f"manufacturer.{code}": ("manufacturer", f"trim(manufacturer) RLIKE '(?i)^({words})$'") for code, words in NO_MAKER.items()},
+        "name.decimal-comma": ("recommended_name", "recommended_name RLIKE '[0-9],[0-9]'"),
+        "name.french-noun": ("recommended_name", "recommended_name RLIKE '(?iu)(modèle|première|évolution|édition|génération|boîtier)'"),
+        **{f"{c}.replacement-character": (c, f"contains({c}, '�')") for c in ("iso_manual_range", "dx_range")},
         "also_takes.via": ("also_takes", f"exists(also_takes, a -> a.format IS NULL OR (a.via IS NOT NULL AND a.via NOT IN ({some(TAKES_VIA)})))"),
         "also_takes.respool": ("also_takes format", "format = '620' AND NOT exists(coalesce(also_takes, array()), a -> a.format = '120' AND a.via = 'respool')"),
         "market_names.label": ("market_names", f"exists(market_names, m -> m.market IS NULL OR m.market NOT IN ({some(MARKETS)}))"),
@@ -60,6 +69,7 @@ def validate(records: DataFrame, aliases: DataFrame, redirects: DataFrame | None
         bad(aliases.where("via <> 'market' and market is not null"), "alias.market-without-via"),
         bad(aliases.where("via = 'market' and alias rlike '[/;]'"), "alias.separator"),
         bad(aliases.where(~F.col("via").isin(*VIAS)), "alias.via"),
+        *[bad(aliases.where(F.col(c).isNotNull()), "alias.legacy-slug") for c in aliases.columns if c.endswith("_slug")],
         bad(aliases.where("kind = 'lens' and via = 'market'"), "alias.market-on-lens"),
         bad(aliases.join(live, "id", "left_anti"), "alias.orphan"),
     ]
@@ -88,6 +98,3 @@ def labels_cover(vocabulary: tuple[str, ...], labels: dict[str, str]) -> bool:
     """VA16."""
     return set(vocabulary) == set(labels)
 
-
-def has_issue(code: str) -> Column:
-    return F.col("code") == code

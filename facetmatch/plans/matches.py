@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmatch.functions import sql as S
-from facetmatch.functions.market import market_terms
 from facetmatch.functions.similarity import WEIGHTS, osa_distance, trigrams
 from facetmatch.functions.text import digits_of, match_normalize, words_of
 from facetmatch.operators import matching
@@ -88,8 +87,3 @@ def typo_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = q.select(F.explode(words_of(match_normalize(F.col("query")))).alias("token")).distinct().where("length(token) >= 4 and not token rlike '[0-9]'")
     unknown = toks.join(vocab, "token", "left_anti").select("token", F.when(F.length("token") >= 7, 2).otherwise(1).alias("most"), F.lit(False).alias("frequent"), F.lit(0).alias("tf"))
     return matching.nearest_tokens(unknown, vocab).select("token", "fixed")
-
-
-@query("SELECT level, brand, count(*) AS terms, count(DISTINCT grp) AS groups FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', {r[2]})" for r in __import__("facetmatch.functions.market", fromlist=["rows"]).rows()) + ") t(level, brand, grp) GROUP BY level, brand")
-def market_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market_terms(spark).groupBy("level", "brand").agg(F.count("*").alias("terms"), F.countDistinct("grp").alias("groups"))

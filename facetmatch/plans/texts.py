@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmatch.functions import sql as S
-from facetmatch.functions.display import facts_line
 from facetmatch.functions.similarity import dice, jaccard, trigrams
 from facetmatch.functions.text import digits_of, fold, html_escape, match_normalize, slugify, words_of
 from facetmatch.registry import query
@@ -47,12 +46,6 @@ def url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.expr("parse_url(url, 'HOST')").alias("host"), F.coalesce(F.expr("parse_url(url, 'PATH')"), F.lit("")).alias("path"), F.expr("parse_url(url, 'QUERY')").alias("params"), F.expr("parse_url(url, 'QUERY', 'utm_source')").alias("utm_source"))
 
 
-@query(T + " SELECT id, CASE WHEN kind = 'lens' THEN array_to_string(list_filter([array_to_string(mounts[1:2], ', '), lower(body_type)], lambda x: x <> ''), ' · ') ELSE lower(left(manufacturer, 1)) || substr(manufacturer, 2) || CASE WHEN len(traits) > 0 THEN ' ' || array_to_string(traits[1:2], ' ') ELSE '' END || ' · ' || lower(body_type) END AS facts FROM records")
-def facts_line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = testdata.records(spark, sf_dir)
-    return r.select("id", facts_line(F.col("kind"), F.expr("lower(left(manufacturer, 1)) || substr(manufacturer, 2)"), F.slice("traits", 1, 2), F.lower("body_type"), F.slice("mounts", 1, 2)).alias("facts"))
-
-
 PAIRS = f", n AS (SELECT ord, {S.norm('name')} AS norm, {S.norm('recommended_name')} AS rec FROM records)"
 
 

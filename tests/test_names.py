@@ -132,17 +132,18 @@ def test_market_tables():
 
 
 def test_facts_lines(spark):
-    rows = [("film", "35mm", None, "rangefinder", ["folding"]), ("digital", None, 12.0, "slr", None), ("film", "35mm", None, "compact", ["point-and-shoot"]), ("film", "120", None, "box", ["stereo"]), ("film", "35mm", None, "pseudo-tlr", None)]
-    df = spark.createDataFrame(rows, "medium string, film string, mp double, body string, traits array<string>")
-    got = [r[0] for r in df.select(display.camera_facts(F.col("medium"), F.col("film"), F.col("mp"), F.col("body"), F.coalesce("traits", F.array().cast("array<string>")))).collect()]
-    assert got == ["35mm folding · rangefinder", "Digital SLR · 12MP", "35mm · compact", "120 stereo · box", "35mm · Pseudo TLR"]
+    rows = [("film", "35mm", None, "rangefinder", ["folding"]), ("digital", None, 12.0, "slr", None), ("film", "35mm", None, "compact", ["point-and-shoot"]), ("film", "120", None, "box", ["stereo"]), ("film", "35mm", None, "pseudo-tlr", None), ("digital", None, 0.0, None, None)]
+    df = spark.createDataFrame(rows, "medium string, format string, sensor_resolution_mp double, body_type string, traits array<string>")
+    df = df.selectExpr("*", "cast(null AS struct<focal_length:string,focal_min_mm:double,focal_max_mm:double,max_aperture:string>) AS fixed_lens", "cast(null AS string) AS focal_length", "cast(null AS double) AS focal_min_mm", "cast(null AS double) AS focal_max_mm", "cast(null AS string) AS max_aperture", "cast(null AS array<string>) AS mounts")
+    got = [r[0] for r in df.select(display.facts_line(F.lit("camera"), F.col)).collect()]
+    assert got == ["35mm folding · rangefinder", "Digital SLR · 12MP", "35mm · compact", "120 stereo · box", "35mm · Pseudo TLR", "Digital camera"]
 
 
 def test_focal_and_years(spark):
-    df = spark.createDataFrame([("x", 70.0, 200.0), ("5 cm", None, None), ("50", None, None), ("50mm", None, None), (None, None, None), ("odd", None, None), ("x", 50.0, 50.0)], "raw string, lo double, hi double")
-    assert [r[0] for r in df.select(display.focal(F.col("raw"), F.col("lo"), F.col("hi"))).collect()] == ["70–200 mm", "50 mm", "50 mm", "50 mm", "", "odd", "50 mm"]
+    df = spark.createDataFrame([("x", 70.0, 200.0), ("5 cm", None, None), ("50", None, None), ("50 mm", None, None), (None, None, None), ("odd", None, None), ("x", 50.0, 50.0), ("", 28.0, None), ("x", 35.04, 105.06)], "raw string, lo double, hi double")
+    assert [r[0] for r in df.select(display.focal(F.col("raw"), F.col("lo"), F.col("hi"))).collect()] == ["70–200mm", "50mm", "50mm", "50mm", "", "odd", "50mm", "", "35–105.1mm"]
     df = spark.createDataFrame([(1950, 1960), (0, None), (1950, None), (None, 1960), (1950, 1950)], "a int, b int")
-    assert [r[0] for r in df.select(display.years_range(F.col("a"), F.col("b"))).collect()] == ["1950–1960", "", "1950", "–1960", "1950"]
+    assert [r[0] for r in df.select(display.years_range(F.col("a"), F.col("b"))).collect()] == ["1950 – 1960", "", "1950", "", "1950 – 1950"]
 
 
 def test_hazards(spark):
