@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from facetmatch.functions.display import explain, hazards
 from facetmatch.operators import browse, contract, names, overlay
 from facetmatch.operators.browse import Filters
+from facetmatch.operators.ranks import ranked
 from facetmatch.registry import query
 from facetmatch.sources import testdata
 from facetmatch.sources.testdata import asset, records
@@ -57,9 +58,8 @@ def browse_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(T + " SELECT kind, id, CAST(row_number() OVER (PARTITION BY kind ORDER BY year = 0, year, ord) AS INTEGER) AS place FROM records")
 def year_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    return records(spark, sf_dir).select("kind", "id", F.row_number().over(W.partitionBy("kind").orderBy(*browse.by_year())).alias("place"))
+    rows = records(spark, sf_dir).select("kind", F.coalesce(F.nullif("year", F.lit(0)), F.lit(99_999)).alias("y"), "ord", "id")
+    return ranked(rows, ["kind", "y", "ord"], ["kind"], "place").select("kind", "id", F.col("place").cast("int").alias("place"))
 
 
 @query("WITH RECURSIVE " + testdata.SQL + ", walk(id, kind, spot, hops) AS (SELECT from_id, kind, from_id, 0 FROM redirects UNION ALL SELECT w.id, w.kind, r.to_id, hops + 1 FROM walk w JOIN redirects r ON r.from_id = w.spot WHERE hops < 16) SELECT id, arg_max(spot, hops) AS resolved, CAST(max(hops) AS INTEGER) AS hops FROM walk GROUP BY id")
@@ -143,9 +143,8 @@ def overlay_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(T + ", m AS (SELECT ord, id, lead(id) OVER (ORDER BY ord) AS nxt FROM records), g AS (SELECT id, nxt FROM m WHERE ord % 50 = 1 AND nxt IS NOT NULL) SELECT r.id, coalesce(nullif(r.year, 0), (SELECT max(nullif(x.year, 0)) FROM g JOIN records x ON x.id = g.id WHERE g.nxt = r.id), 0) AS year FROM records r WHERE r.id NOT IN (SELECT id FROM g)")
 def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CO3: every fiftieth record is merged into the next, which takes its year where it has none."""
-    from pyspark.sql.window import Window as W
-
     r = records(spark, sf_dir).withColumn("year", F.nullif("year", F.lit(0)))
-    nxt = r.select("ord", "id", "kind", F.lead("id").over(W.orderBy("ord")).alias("to_id")).where("ord % 50 = 1 and to_id is not null")
+    placed = ranked(r.select(F.lit(0).alias("all"), "ord", "id", "kind"), ["all", "ord"], ["all"], "place")
+    nxt = placed.where("ord % 50 = 1").join(placed.select((F.col("place") - 1).alias("place"), F.col("id").alias("to_id")), "place").select("ord", "id", "kind", "to_id")
     survivors, _, _ = overlay.merge(r, nxt.select(F.col("id").alias("from_id"), "kind", "to_id", "ord"), ["year"])
     return survivors.select("id", F.coalesce("year", F.lit(0)).alias("year"))
