@@ -29,11 +29,9 @@ MATCH_RULES = [
     (r"[®™©]", ""),
     (r"\([^)]*\)", " "),
     (B0 + "(?:" + "|".join(DESCRIPTOR_WORDS) + ")" + B1, " "),
-    (r"[_/,+&]", " "),
-    (r"[^a-z0-9.\- ]", " "),
+    (r"[^a-z0-9.\- ]+", " "),
     (r"([0-9])\s*mm" + B1, "$1mm"),
-    (r"-", " "),
-    (r"\s+", " "),
+    (r"[-\s]+", " "),
 ]
 ROMAN = {numeral: str(n) for n, numeral in enumerate("i ii iii iv v vi vii viii ix x".split(), 1)}
 
