@@ -52,7 +52,7 @@ def prefix_hits(forms: DataFrame, index: DataFrame, limits: Limits) -> DataFrame
     if limits.prefix_scan is not None:
         hits = hits.withColumn("_k", F.row_number().over(W.partitionBy("q").orderBy("n", "id"))).where(F.col("_k") <= limits.prefix_scan).drop("_k")
     hits = forms.join(hits, "q")
-    return hits.select("query_id", "n", "id", "kind", "shown", (F.col("offset") + F.when(F.col("n") == F.col("q"), 0).otherwise(1)).alias("tier"), "label")
+    return hits.select("query_id", "q", "n", "id", "kind", "shown", (F.col("offset") + F.when(F.col("n") == F.col("q"), 0).otherwise(1)).alias("tier"), "label")
 
 
 def cover_hits(forms: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
@@ -70,7 +70,7 @@ def cover_hits(forms: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
     whole = near.where(covers).select("q", "many", "n", "id").distinct()
     lone = whole.where("many = 1").groupBy("q").count().where(F.col("count") > limits.single_cover).select("q")
     kept = whole.join(lone, "q", "left_anti").where(~F.startswith("n", "q")).join(index, ["n", "id"])
-    return forms.join(kept, "q").select("query_id", "n", "id", "kind", "shown", (F.col("offset") + 2).alias("tier"), "label")
+    return forms.join(kept, "q").select("query_id", "q", "n", "id", "kind", "shown", (F.col("offset") + 2).alias("tier"), "label")
 
 
 def expand(queries: DataFrame, offset: int, limits: Limits) -> DataFrame:

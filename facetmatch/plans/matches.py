@@ -54,13 +54,32 @@ def score_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.scored_candidates(forms(spark, sf_dir), stored(entries_of(spark, sf_dir)), Policy()).select("query_id", "ord", F.round("s", 6).alias("score"))
 
 
-@query(SCORED + ", b AS (SELECT query_id, max(round(s, 9)) AS s FROM s GROUP BY query_id) SELECT q.query_id, round(coalesce(s, 0), 6) AS score, CASE WHEN coalesce(s, 0) < 0.45 THEN 'no-match' WHEN s >= 0.9 THEN 'auto' ELSE 'review' END AS decision FROM q LEFT JOIN b USING (query_id)")
+def decided(policy: Policy) -> str:
+    w = "".join(f" + {x} * {f}" for x, f in zip(policy.weights[1:], ("f1", "f2", "f3", "f4", "f5", "f6", "greatest(f1, f7)")))
+    return SCORED + f""", p AS (SELECT query_id, 1 / (1 + exp(-({policy.weights[0]}{w}))) AS s FROM f), b AS (SELECT query_id, max(round(s, 9)) AS s FROM p GROUP BY query_id)
+SELECT q.query_id, round(coalesce(s, 0), 6) AS score, CASE WHEN coalesce(s, 0) < {policy.review} THEN 'no-match' WHEN s >= {policy.auto} THEN 'auto' ELSE 'review' END AS decision FROM q LEFT JOIN b USING (query_id)"""
+
+
+def decisions(spark: SparkSession, sf_dir: str, policy: Policy) -> DataFrame:
+    f = forms(spark, sf_dir)
+    best = matching.scored_candidates(f, stored(entries_of(spark, sf_dir)), policy).groupBy("query_id").agg(F.max(F.round("s", 9)).alias("s"))
+    return f.select("query_id").join(best, "query_id", "left").select("query_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"), matching.decision(F.coalesce("s", F.lit(0.0)), policy).alias("decision"))
+
+
+@query(decided(Policy()))
 def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM9, BM17, without variants and gates."""
-    f = forms(spark, sf_dir)
-    best = matching.scored_candidates(f, stored(entries_of(spark, sf_dir)), Policy()).groupBy("query_id").agg(F.max(F.round("s", 9)).alias("s"))
-    s = F.coalesce("s", F.lit(0.0))
-    return f.select("query_id").join(best, "query_id", "left").select("query_id", F.round(s, 6).alias("score"), F.when(s < 0.45, "no-match").when(s >= 0.9, "auto").otherwise("review").alias("decision"))
+    return decisions(spark, sf_dir, Policy())
+
+
+#: Other weights and thresholds than the usual ones.
+STRICT = Policy(weights=(-6.0, 3.5, 1.0, 1.0, -0.5, 2.0, 0.5, 2.5), auto=0.8, review=0.3)
+
+
+@query(decided(STRICT))
+def match_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM4."""
+    return decisions(spark, sf_dir, STRICT)
 
 
 @query()

@@ -16,23 +16,27 @@ from facetmatch.session import checkpoint
 from facetmatch.sources import testdata
 
 BASE = "WITH " + testdata.SQL + INDEX + QUERY_SQL + f""", lit AS (SELECT query_id, {TYPE('query')} AS q FROM queries),
-pre AS (SELECT query_id, {TYPE("array_to_string(string_split(query, ' ')[1:2], ' ')")} AS q FROM queries)"""
+pre AS (SELECT DISTINCT query_id, {TYPE("array_to_string(string_split(query, ' ')[1:k], ' ')")} AS q FROM (SELECT *, unnest(range(2, len(string_split(query, ' ')) + 1)) AS k FROM queries))"""
 
 
-def literal(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
+def literal(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
+    """Each query; typed: each of its beginnings from two words on, as they are typed."""
     q = testdata.match_queries(spark, sf_dir)
-    text = F.col("query") if words is None else F.array_join(F.slice(F.split("query", " "), 1, words), " ")
-    return checkpoint(q.select("query_id", type_normalize(text).alias("q"), F.lit(0).alias("offset"), F.lit(None).cast("string").alias("label"))).where("q <> ''")
+    text = F.col("query")
+    if typed:
+        words = F.split("query", " ")
+        q = q.select("query_id", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(words))), lambda k: F.array_join(F.slice(words, 1, k), " "))).alias("query"))
+    return checkpoint(q.select("query_id", type_normalize(text).alias("q"), F.lit(0).alias("offset"), F.lit(None).cast("string").alias("label")).distinct()).where("q <> ''")
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoint(index_rows_of(testdata.asset(spark, sf_dir)))
 
 
-@query(BASE + " SELECT query_id, n, id, CASE WHEN n = q THEN 0 ELSE 1 END AS tier FROM pre JOIN idx ON starts_with(n, q)")
+@query(BASE + " SELECT query_id, q, n, id, CASE WHEN n = q THEN 0 ELSE 1 END AS tier FROM pre JOIN idx ON starts_with(n, q)")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TS3, over the first two words of each query."""
-    return search.prefix_hits(literal(spark, sf_dir, 2), index_of(spark, sf_dir), Limits(prefix_scan=None)).select("query_id", "n", "id", "tier")
+    """TS3, as each query is typed word by word."""
+    return search.prefix_hits(literal(spark, sf_dir, True), index_of(spark, sf_dir), Limits(prefix_scan=None)).select("query_id", "q", "n", "id", "tier")
 
 
 COVER = """, t AS (SELECT DISTINCT query_id, q, unnest(string_split(q, ' ')) AS tok FROM lit), need AS (SELECT query_id, count(*) AS need FROM t GROUP BY query_id),
