@@ -8,6 +8,9 @@ Documents with all minima alike are joined without comparing. In a band's bucket
 with those not yet reached, so that a clique of n copies costs n comparisons, while the connected parts are exactly those of
 all pairs; nothing is capped. Parts across bands are joined by the large-star and small-star rounds of Kiveris et al.
 
+A bucket of more than `bucket` members is cut into parts of about that size by a hash of the id, each searched by itself. Once all parts are joined, most members of such a bucket belong to one group, and links within a group
+can't change it; so only members outside the bucket's largest group are then compared, block by block, with those of other groups. So no task holds more than two blocks, and the groups are still exactly those of all pairs.
+
 Defined results: null, empty and wordless texts are nobody's duplicate, nor are rows with a null id. Rows that repeat an id
 count once (which of two different texts under one id is taken is the larger one). The smallest id of a group is kept. Empty
 tables give no rows. Further columns are ignored.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetmatch.llm.common import checkpoint, chunks, mix, pick, utf8, without, words
+from facetmatch.llm.common import checkpoint, chunks, mix, pick, sized, utf8, without, words
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,8 @@ class Params:
     rows_per_band: int = 4
     threshold: float = 0.6
     seed: int = 11
+    #: Members of a bucket that one task searches; of larger ones each part.
+    bucket: int = 50_000
 
     @property
     def longs(self) -> int:
@@ -199,6 +204,38 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
+def cross_edges(members: DataFrame, p: Params) -> DataFrame:
+    """members: key, id, sig, root, of large buckets. An edge for each two groups of a bucket that a pair of members links, between members outside the bucket's largest group and all others."""
+    sizes = members.groupBy("key", "root").count()
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups"), F.sum("count").alias("n")).where("groups > 1")
+    known = members.join(sized(largest), "key")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / p.bucket).cast("bigint"))
+    row = F.struct("id", "root", "sig")
+    blocks = known.groupBy("key", block.alias("block")).agg(F.collect_list(row).alias("right"))
+    rest = known.where("root <> main").groupBy("key", block.alias("part")).agg(F.collect_list(row).alias("left"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, ra, x), (b, rb, y) = (_unpacked(batch.column(c)[i].values, p) for c in (0, 1))
+                found: dict[tuple[int, int], tuple[int, int]] = {}
+                for j in range(len(a)):
+                    hit = np.flatnonzero((rb != ra[j]) & (similarity(y, x[j], p) >= p.threshold))
+                    for r, k in zip(*np.unique(rb[hit], return_index=True)):
+                        found.setdefault((int(ra[j]), int(r)), (int(a[j]), int(b[hit[k]])))
+                if found:
+                    u, v = zip(*found.values())
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+    pairs = rest.join(blocks, "key").select("left", "right")
+    return pairs.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "a long, b long")
+
+
+def _unpacked(rows: pa.StructArray, p: Params) -> tuple[np.ndarray, ...]:
+    """ids, roots, signatures."""
+    return rows.field("id").to_numpy(), rows.field("root").to_numpy(), np.asarray(rows.field("sig").flatten()).view(np.uint64).reshape(len(rows), p.longs)
+
+
 def groups(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """node, root for each document of a group but the kept one; and all signatures."""
     sigs = checkpoint(signatures(docs, p))
@@ -206,8 +243,17 @@ def groups(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]
     exact = sigs.select("id", "full").join(alike.where("n > 1").select("full", "rep"), "full").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     one = sigs.join(alike.select("full", "rep"), "full").where("id = rep").select("id", "keys", "sig").dropDuplicates(["id", "keys"])
     exploded = one.select(F.explode("keys").alias("key"), "id", "sig")
-    near = candidate_edges(exploded.repartition("key").sortWithinPartitions("key", "id"), p)
-    return components(near.union(exact)), sigs
+    large = checkpoint(sigs.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > p.bucket))
+    near = lambda rows: candidate_edges(rows.repartition("key").sortWithinPartitions("key", "id"), p)
+    if large.isEmpty():
+        return components(near(exploded).union(exact)), sigs
+    spread = exploded.join(sized(large), "key", "left")
+    part = F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / p.bucket).cast("bigint"))))
+    edges = checkpoint(near(spread.select(part.alias("key"), "id", "sig")).union(exact))
+    first = components(edges)
+    members = exploded.join(sized(large.select("key")), "key", "left_semi").join(first, F.col("id") == F.col("node"), "left").select("key", "id", "sig", F.coalesce("root", "id").alias("root"))
+    more = checkpoint(cross_edges(members, p))
+    return (first if more.isEmpty() else components(edges.union(more))), sigs
 
 
 def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:

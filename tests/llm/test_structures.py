@@ -134,6 +134,27 @@ def test_odd_rows_and_thousands_of_copies(spark):
     assert M.duplicates(empty).count() == 0 and M.deduplicated(empty).count() == 0
 
 
+def test_large_buckets_are_cut_and_lose_no_link(spark):
+    """A chain of near copies, a crowd of them, and copies that share a bucket with neither."""
+    rng = random.Random(15)
+    base = prose(120, rng)
+    rows = [(i, edited(base, 0.01, rng)) for i in range(150)]
+    chain = [edited(base, 0.25, rng)]
+    for _ in range(40):
+        chain.append(edited(chain[-1], 0.05, rng))
+    rows += [(200 + i, t) for i, t in enumerate(chain)] + [(300 + i, t) for i, t in enumerate([prose(60, rng)] * 30)] + [(400 + i, t) for i, (_, t) in enumerate(corpus(rng))]
+    docs = docs_of(spark, rows).repartition(4)
+    whole = {tuple(r) for r in M.duplicates(docs).collect()}
+    for size in (4, 25):
+        assert {tuple(r) for r in M.duplicates(docs, M.Params(bucket=size)).collect()} == whole
+    p = M.Params(bucket=3)
+    m = np.random.default_rng(5).integers(0, 1 << 63, (6, p.perms), np.uint64)
+    m[3], m[4] = m[0], m[0]
+    sig = M.pack(m, p).view(np.int64).tolist()
+    members = spark.createDataFrame([(1, i, sig[i], r) for i, r in enumerate([0, 1, 1, 1, 0, 5])], "key long, id long, sig array<bigint>, root long")
+    assert {tuple(sorted(r)) for r in M.cross_edges(members, p).collect()} <= {(0, 3), (3, 4)} and M.cross_edges(members, p).count() >= 1
+
+
 def test_an_id_with_two_texts_counts_once(spark):
     rng = random.Random(14)
     a, b = prose(60, rng), prose(60, rng)
