@@ -51,7 +51,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), topk.QUERIES)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact top-k search by distributed histogram selection. Every row is a query.
+"""Exact top-k search by distributed histogram selection. Queries are the rows whose id is divisible by `every` (1: all), each against all rows.
 
 Vectors are packed in blocks, and each pair of blocks is scored in one matrix product. A round counts, for each query, its scores in `bins` parts of an interval
 that holds the kth greatest one, at first all of [-1, 1]; the part with the kth becomes the next interval. Once few scores lie at or above
@@ -35,15 +35,17 @@ class Params:
     #: A query is settled once so many times k of its scores are at or above its interval.
     slack: int = 8
     rounds: int = 6
+    every: int = 1
 
 
-def blocks(vectors: DataFrame, p: Params) -> DataFrame:
-    """block, ids, mat (unit rows), as bytes."""
+def blocks(vectors: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """block, ids, mat (unit rows), as bytes: of the queries and of all rows."""
     rows = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x)) and exists(v, x -> x <> 0)")
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dim = size["d"] if size else 1
     rows = rows.where(F.size("v") == dim).dropDuplicates(["id", "v"])
+    asked = rows.where(F.col("id") % p.every == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,7 +55,9 @@ def blocks(vectors: DataFrame, p: Params) -> DataFrame:
             for lo in range(0, len(ids), p.block_rows):
                 yield pa.RecordBatch.from_arrays([pa.array([ids[lo : lo + p.block_rows].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m[lo : lo + p.block_rows]).tobytes()], pa.binary())], ["ids", "mat"])
 
-    return rows.mapInArrow(run, "ids binary, mat binary").select(F.monotonically_increasing_id().alias("block"), "ids", "mat")
+    packed = lambda df: checkpoint(df.mapInArrow(run, "ids binary, mat binary").select(F.monotonically_increasing_id().alias("block"), "ids", "mat"))
+    every = packed(rows)
+    return (every if p.every == 1 else packed(asked)), every
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -118,7 +122,7 @@ def refine(parts: DataFrame, queries: DataFrame, p: Params) -> DataFrame:
 
 def top_k(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score."""
-    packed = checkpoint(blocks(vectors, p))
+    asked, packed = blocks(vectors, p)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,11 +130,11 @@ def top_k(vectors: DataFrame, p: Params = Params()) -> DataFrame:
             full = lambda v: pa.array([np.full(i, v).tobytes() for i in n], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), full(-1 - 1e-6), full(1 + 1e-6), full(False)], ["block", "lo", "hi", "done"])
 
-    bounds = packed.select("block", "ids").mapInArrow(start, "block long, lo binary, hi binary, done binary").withColumn("open", F.lit(1).cast("long"))
+    bounds = asked.select("block", "ids").mapInArrow(start, "block long, lo binary, hi binary, done binary").withColumn("open", F.lit(1).cast("long"))
     for _ in range(p.rounds):
         # blocks whose queries are all settled aren't scored again
         now = bounds.where("open > 0")
-        parts = histograms(packed.join(now.select("block", "lo", "hi"), "block"), packed, p)
+        parts = histograms(asked.join(now.select("block", "lo", "hi"), "block"), packed, p)
         bounds = checkpoint(refine(parts, now.select("block", "lo", "hi", "done"), p).union(bounds.where("open = 0").select("block", "lo", "hi", "done", "open")))
         if not bounds.agg(F.sum("open")).first()[0]:
             break
@@ -147,14 +151,17 @@ def top_k(vectors: DataFrame, p: Params = Params()) -> DataFrame:
                 a, b, v = a[nth < p.k], b[nth < p.k], v[nth < p.k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row["block"])), pa.array(a), pa.array(qi[a]), pa.array(xi[b]), pa.array(v)], ["block", "row", "query_id", "vec_id", "score"])
 
-    kept = _pairs(packed.join(bounds.select("block", "lo"), "block"), packed).mapInArrow(keep, "block long, row long, query_id long, vec_id long, score double")
+    kept = _pairs(asked.join(bounds.select("block", "lo"), "block"), packed).mapInArrow(keep, "block long, row long, query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("block", "row").orderBy(F.desc("score"), "vec_id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
+#: The registered query's.
+QUERIES = Params(every=20)
+
 SQL = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {k}
-""".format(k=Params().k)
+""".format(k=QUERIES.k, every=QUERIES.every)
