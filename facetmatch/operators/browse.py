@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from facetmatch.functions.text import fold, slugify
-from facetmatch.session import checkpoint
+from facetmatch.session import checkpoint, spread
 
 PAGE, TOP, EXPANDED, FOUND = 60, 10, 200, 50
 
@@ -103,24 +103,28 @@ def year_distance(year: Column, base: Column) -> Column:
 
 
 def same_maker(records: DataFrame, most: int = 4) -> DataFrame:
-    """DT1: id, rank, related. Records that are alike in all that ranks them are first reduced to one profile, with the first few of it by ord; so only profiles of a maker are compared, whatever the number of records."""
-    profile = ["kind", "manufacturer", "body_type", "traits", "year"]
+    """DT1: id, rank, related. Rows of one maker, kind, body type and traits (a look) are reduced to the first few a year. Looks of a maker are compared by counts alone, to find how far down a look must go for
+    enough rows; only the rows of the looks that it reaches are then read, once for each year that is asked for."""
+    look, profile = ["kind", "manufacturer", "body_type", "traits"], ["kind", "manufacturer", "body_type", "traits", "year"]
     known = records.where("manufacturer <> ''")
     nth = F.row_number().over(W.partitionBy(*profile).orderBy("ord"))
     short = known.select(*profile, "ord", "id").withColumn("n", nth).where(F.col("n") <= most + 1)
-    profiles = short.groupBy(*profile).agg(F.collect_list(F.struct("ord", "id")).alias("firsts"))
-    a = profiles.select(F.struct(*profile).alias("profile"), *profile)
-    b = profiles.select("kind", "manufacturer", F.struct(F.col("body_type").alias("t"), F.col("traits").alias("x"), F.col("year").alias("y"), "firsts").alias("b"))
-    near = F.when(F.coalesce("year", F.lit(0)) == 0, 0).otherwise(year_distance(F.col("b.y"), F.col("year")))
-    key = F.struct((~F.col("b.t").eqNullSafe(F.col("body_type"))).alias("other"), (-F.coalesce(F.size(F.array_intersect("traits", "b.x")), F.lit(0))).alias("apart"), near.alias("near"))
-    # a profile whose rows before it are enough can't be reached
-    before = W.partitionBy("profile").orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow)
-    level = a.join(b, ["kind", "manufacturer"]).select("profile", key.alias("key"), "b.firsts").withColumn("upto", F.sum(F.size("firsts")).over(before))
-    level = level.withColumn("here", F.sum(F.size("firsts")).over(W.partitionBy("profile", "key"))).where(F.col("upto") - F.col("here") < most + 1)
-    rows = level.select("profile", "key", F.explode("firsts").alias("f"))
-    best = rows.withColumn("n", F.row_number().over(W.partitionBy("profile").orderBy("key", "f.ord"))).where(F.col("n") <= most + 1)
-    listed = best.groupBy("profile").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("f.id").alias("id")))), lambda x: x["id"]).alias("ids"))
-    on = [known[c].eqNullSafe(F.col(f"profile.{c}")) for c in profile]
+    looks = short.groupBy(*look).agg(F.collect_list(F.struct("year", "ord", "id")).alias("rows"))
+    looks = checkpoint(looks.select(F.monotonically_increasing_id().alias("no"), *look, F.size("rows").alias("n"), "rows"))
+    b = looks.select("kind", "manufacturer", F.struct("no", "n", F.col("body_type").alias("t"), F.col("traits").alias("x")).alias("b"))
+    level = F.struct((~F.col("b.t").eqNullSafe(F.col("body_type"))).alias("other"), (-F.coalesce(F.size(F.array_intersect("traits", "b.x")), F.lit(0))).alias("apart"))
+    pairs = spread(looks.drop("rows", "n"), "no").join(b, ["kind", "manufacturer"]).select("no", "b.n", F.col("b.no").alias("met"), level.alias("level"))
+    # a level whose rows before it are enough can't be reached
+    before = F.coalesce(F.sum("n").over(W.partitionBy("no").orderBy("level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = pairs.groupBy("no", "level").agg(F.sum("n").alias("n")).withColumn("before", before).where(F.col("before") < most + 1).groupBy("no").agg(F.max("level").alias("last"))
+    reached = pairs.join(last, "no").where(F.col("level") <= F.col("last")).select("no", "met", "level")
+    asked = looks.select("no", F.explode(F.array_distinct(F.transform("rows", lambda r: r["year"]))).alias("year"))
+    near = lambda r: F.when(F.coalesce("year", F.lit(0)) == 0, 0).otherwise(year_distance(r["year"], F.col("year")))
+    nearest = F.slice(F.array_sort(F.transform("rows", lambda r: F.struct(F.col("level").alias("level"), near(r).alias("near"), r["ord"].alias("ord"), r["id"].alias("id")))), 1, most + 1)
+    some = spread(asked.join(reached, "no"), "met").join(looks.select(F.col("no").alias("met"), "rows"), "met").select("no", "year", nearest.alias("some"))
+    best = some.groupBy("no", "year").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, most + 1).alias("best"))
+    listed = best.join(looks.select("no", *look), "no").select(*[F.col(c).alias(f"p_{c}") for c in profile], F.transform("best", lambda x: x["id"]).alias("ids"))
+    on = [known[c].eqNullSafe(F.col(f"p_{c}")) for c in profile]
     own = known.join(listed, on).select("id", F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, most).alias("ids"))
     return own.select("id", F.posexplode("ids").alias("rank", "related")).select("id", (F.col("rank") + 1).alias("rank"), "related")
 

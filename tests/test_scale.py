@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from facetmatch.operators import browse
 from facetmatch.operators.catalog import index_rows_of
 from facetmatch.operators.search import Limits, Lookup, cover_hits, prefix_hits, search_batch
 from facetmatch.registry import QUERIES, SQL
@@ -40,3 +41,22 @@ def test_copies_of_a_text_are_met_once(spark):
             got.setdefault(r["query_id"], []).append((r["id"], r["tier"]))
         for i, q in enumerate(queries * 2):
             assert got[i] == plain(rows, meta, q, scan, 5), (q, scan)
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_related_records_do_not_pair_all_rows_of_a_maker(spark):
+    rows = [(i, f"{i:05d}", "camera", "M", f"T{i % 3}", [["a", "b"], ["a"], ["c"], []][i % 4], 0 if i % 50 == 0 else 1000 + i * 17 % 1500) for i in range(1500)]
+    r = spark.createDataFrame(rows, "ord long, id string, kind string, manufacturer string, body_type string, traits array<string>, year int")
+    before = shuffled(spark)
+    got = {}
+    for x in browse.same_maker(r).orderBy("id", "rank").collect():
+        got.setdefault(x["id"], []).append(x["related"])
+    assert shuffled(spark) - before < 3_000_000
+    for a in rows[::97]:
+        far = lambda b: 0 if a[6] == 0 else 1_000_000 if b[6] == 0 else abs(b[6] - a[6])
+        near = sorted((b[4] != a[4], -len({*a[5]} & {*b[5]}), far(b), b[0], b[1]) for b in rows if b[1] != a[1])
+        assert got[a[1]] == [x[4] for x in near[:4]], a
