@@ -1,6 +1,7 @@
 """Steps that must not grow with the square of rows that are alike."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
@@ -69,3 +70,10 @@ def test_added_aliases_keep_to_their_record(spark):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.1/{t}.parquet'")
     want = con.sql(SQL["corrected_aliases"]).fetchall()
     assert sorted(map(str, map(tuple, QUERIES["corrected_aliases"](spark, "/root/testdata/sf0.1").collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", ["index_rows"])
+def test_names_are_worked_out_once(spark, name):
+    """The normal form stands once in the plan, above an exchange that spreads the names, not in a filter and again in each branch."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
