@@ -72,7 +72,7 @@ def test_added_aliases_keep_to_their_record(spark):
     assert sorted(map(str, map(tuple, QUERIES["corrected_aliases"](spark, "/root/testdata/sf0.1").collect()))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("name", ["index_rows"])
+@pytest.mark.parametrize("name", ["index_rows", "engine_inputs"])
 def test_names_are_worked_out_once(spark, name):
     """The normal form stands once in the plan, above an exchange that spreads the names, not in a filter and again in each branch."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
