@@ -8,6 +8,7 @@ import __spark_entry__  # noqa: F401
 from facetmatch.operators import browse
 from facetmatch.operators.search import Limits, Lookup, search_batch
 from facetmatch.registry import QUERIES, SQL
+from tests.test_queries import canon
 
 COPIES = 40
 NAMES = ["canon ae 1", "canon ae 2", "canon f 1", "nikon f 1", "nikon fa"]
@@ -72,6 +73,27 @@ def test_added_aliases_keep_to_their_record(spark):
     assert sorted(map(str, map(tuple, QUERIES["corrected_aliases"](spark, "/root/testdata/sf0.1").collect()))) == sorted(map(str, want))
 
 
+def copies(at, times):
+    """sf0.001 so many times, with shifted keys."""
+    at.mkdir()
+    shift = {"part": {"p_partkey": 200}, "events": {"user_id": 1500}, "lineitem": {"l_partkey": 200}, "supplier": {}, "nation": {}}
+    for t, by in shift.items():
+        moved = f" REPLACE ({', '.join(f'{c} + {n} * i AS {c}' for c, n in by.items())})" if by else ""
+        duckdb.sql(f"COPY (SELECT * EXCLUDE (i) {moved} FROM '/root/testdata/sf0.001/{t}.parquet', range({times if by else 1}) r(i)) TO '{at}/{t}.parquet'")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["ranked_hits"])
+def test_searches_of_copies_equal_sql(spark, tmp_path, name):
+    """Texts with 64 rows and queries each."""
+    at = copies(tmp_path / "64", 64)
+    con = duckdb.connect()
+    for t in ("part", "supplier", "nation", "lineitem", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    got, want = QUERIES[name](spark, at).toPandas(), con.sql(SQL[name]).df()
+    assert len(want) > 1000 and canon(got) == canon(want)
+
+
 @pytest.mark.parametrize("name", ["index_rows", "engine_inputs"])
 def test_names_are_worked_out_once(spark, name):
     """The normal form stands once in the plan, above an exchange that spreads the names, not in a filter and again in each branch."""
