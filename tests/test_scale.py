@@ -83,7 +83,7 @@ def copies(at, times):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["ranked_hits", "token_cover"])
+@pytest.mark.parametrize("name", ["ranked_hits", "token_cover", "prefix_search"])
 def test_searches_of_copies_equal_sql(spark, tmp_path, name):
     """Texts with 64 rows and queries each."""
     at = copies(tmp_path / "64", 64)
