@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from facetmatch.functions import sql as S
 from facetmatch.functions.similarity import dice, jaccard, trigrams
-from facetmatch.functions.text import digits_of, fold, html_escape, match_normalize, slugify, words_of
+from facetmatch.functions.text import digits_of, fold, html_escape, match_normalize, match_normalize_long, slugify, words_of
 from facetmatch.registry import query
 from facetmatch.sources import testdata
 from facetmatch.sources.testdata import table
@@ -17,7 +17,7 @@ T = "WITH " + testdata.SQL
 
 @query(f"SELECT doc_id, md5({S.norm('text')}) AS norm_md5, length({S.norm('text')}) AS norm_length FROM documents")
 def norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", match_normalize(F.col("text")).alias("n")).select("doc_id", F.md5("n").alias("norm_md5"), F.length("n").alias("norm_length"))
+    return table(spark, sf_dir, "documents").select("doc_id", match_normalize_long(F.col("text")).alias("n")).select("doc_id", F.md5("n").alias("norm_md5"), F.length("n").alias("norm_length"))
 
 
 @query(f"SELECT doc_id, {S.digits(S.norm('text'))} AS numbers FROM documents")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
+from facetmatch.functions import text
 from facetmatch.operators import browse
 from facetmatch.operators.search import Limits, Lookup, search_batch
 from facetmatch.registry import QUERIES, SQL
@@ -99,3 +100,18 @@ def test_names_are_worked_out_once(spark, name):
     """The normal form stands once in the plan, above an exchange that spreads the names, not in a filter and again in each branch."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1
+
+
+ODD = [None, "", "ß ẞ İI ά Å Å é é Σς", " no. 5 µ: 3 x (a\nb) No 7", "5 \t mm\x0b 5\x85mm", "1,5 II iv i", "\x1c a \x1d", "ﬁ ǅ Ⅳ", "𝒜 mm", "kit-box BODY ONLY", "VIII x", "İstanbul no.5", "ΑΣ Σ: α a7", "alpha a7 ®x"]
+
+
+def test_running_text_is_normalised_in_python_alike(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD)), "i int, text string").repartition(3)
+    both = rows.select("i", text.match_normalize(F.col("text")).alias("a"), text.match_normalize_long(F.col("text")).alias("b")).collect()
+    assert len(both) == len(ODD) and all(r["a"] == r["b"] is not None for r in both), both
+
+
+@pytest.mark.parametrize("name", ["norm_documents"])
+def test_documents_are_normalised_once_in_python(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("match_normalize_long(") >= 1 and "translate(" not in plan
