@@ -22,7 +22,7 @@ def norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {S.digits(S.norm('text'))} AS numbers FROM documents")
 def digit_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", digits_of(match_normalize(F.col("text"))).alias("numbers"))
+    return table(spark, sf_dir, "documents").select("doc_id", digits_of(match_normalize_long(F.col("text"))).alias("numbers"))
 
 
 @query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")

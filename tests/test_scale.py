@@ -111,7 +111,7 @@ def test_running_text_is_normalised_in_python_alike(spark):
     assert len(both) == len(ODD) and all(r["a"] == r["b"] is not None for r in both), both
 
 
-@pytest.mark.parametrize("name", ["norm_documents"])
+@pytest.mark.parametrize("name", ["norm_documents", "digit_seqs"])
 def test_documents_are_normalised_once_in_python(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("match_normalize_long(") >= 1 and "translate(" not in plan
