@@ -97,6 +97,17 @@ def test_searches_of_copies_equal_sql(spark, tmp_path, name):
     assert len(want) > 1000 and canon(got) == canon(want)
 
 
+def test_aliases_of_repeated_parts_equal_sql(spark, tmp_path):
+    """A part that stands twice has each alias twice, not four times: aliases are made row by row, without a join of the parts with themselves."""
+    at = copies(tmp_path / "twice", 1)
+    duckdb.sql(f"COPY (SELECT * EXCLUDE (i) FROM '/root/testdata/sf0.001/part.parquet', range(2) r(i)) TO '{at}/part.parquet'")
+    con = duckdb.connect()
+    for t in ("part", "supplier", "nation", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    got, want = QUERIES["alias_orphans_anti"](spark, at).toPandas(), con.sql(SQL["alias_orphans_anti"]).df()
+    assert len(want) > 0 and canon(got) == canon(want)
+
+
 @pytest.mark.parametrize("name", ["index_rows", "engine_inputs"])
 def test_names_are_worked_out_once(spark, name):
     """The normal form stands once in the plan, above an exchange that spreads the names, not in a filter and again in each branch."""
