@@ -8,7 +8,7 @@ import __spark_entry__  # noqa: F401
 from facetmatch.functions import text
 from facetmatch.operators import browse, matching
 from facetmatch.operators.catalog import build, stored
-from facetmatch.operators.search import Limits, Lookup, search_batch
+from facetmatch.operators.search import Limits, Lookup, cover_hits, search_batch
 from facetmatch.registry import QUERIES, SQL
 from facetmatch.sources.testdata import Asset
 from tests.test_queries import canon
@@ -97,6 +97,19 @@ def test_searches_of_copies_equal_sql(spark, tmp_path, name):
     assert len(want) > 1000 and canon(got) == canon(want)
 
 
+@pytest.mark.parametrize("hits, tier, most", [(cover_hits, 2, 4_000_000)])
+def test_callers_travel_as_bare_ids(spark, hits, tier, most):
+    """Each of the texts meets 1,000 callers, whose list goes with it; offsets and labels stay each caller's own."""
+    texts = [f"{'' if tier == 1 else 'old '}canon model {i}" for i in range(400)]
+    index = spark.createDataFrame([(n, "camera", f"{i:04d}", "") for i, n in enumerate(texts)], "n string, kind string, id string, shown string")
+    callers = [(i * 7919 % 1000, "canon mod", i % 2 * 3, ["eu", None][i % 2]) for i in range(1000)]
+    forms = spark.createDataFrame(callers, "query_id long, q string, offset int, label string")
+    before = shuffled(spark)
+    got = hits(forms, index, Limits()).select("query_id", "n", "tier", "label").collect()
+    assert shuffled(spark) - before < most
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, n, o + tier, x)) for i, _, o, x in callers for n in texts)
+
+
 def test_aliases_of_repeated_parts_equal_sql(spark, tmp_path):
     """A part that stands twice has each alias twice, not four times: aliases are made row by row, without a join of the parts with themselves."""
     at = copies(tmp_path / "twice", 1)
