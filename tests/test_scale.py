@@ -8,7 +8,7 @@ import __spark_entry__  # noqa: F401
 from facetmatch.functions import text
 from facetmatch.operators import browse, matching
 from facetmatch.operators.catalog import build, stored
-from facetmatch.operators.search import Limits, Lookup, cover_hits, search_batch
+from facetmatch.operators.search import Limits, Lookup, cover_hits, prefix_hits, search_batch
 from facetmatch.registry import QUERIES, SQL
 from facetmatch.sources.testdata import Asset
 from tests.test_queries import canon
@@ -97,7 +97,7 @@ def test_searches_of_copies_equal_sql(spark, tmp_path, name):
     assert len(want) > 1000 and canon(got) == canon(want)
 
 
-@pytest.mark.parametrize("hits, tier, most", [(cover_hits, 2, 4_000_000)])
+@pytest.mark.parametrize("hits, tier, most", [(prefix_hits, 1, 4_000_000), (cover_hits, 2, 4_000_000)])
 def test_callers_travel_as_bare_ids(spark, hits, tier, most):
     """Each of the texts meets 1,000 callers, whose list goes with it; offsets and labels stay each caller's own."""
     texts = [f"{'' if tier == 1 else 'old '}canon model {i}" for i in range(400)]
