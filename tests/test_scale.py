@@ -9,7 +9,9 @@ from facetmatch.functions import text
 from facetmatch.operators import browse, matching
 from facetmatch.operators.catalog import build, stored
 from facetmatch.operators.search import Limits, Lookup, cover_hits, prefix_hits, search_batch
+from facetmatch.plans import searches
 from facetmatch.registry import QUERIES, SQL
+from facetmatch.sources import testdata
 from facetmatch.sources.testdata import Asset
 from tests.test_queries import canon
 
@@ -110,6 +112,29 @@ def test_callers_travel_as_bare_ids(spark, hits, tier, most):
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, n, o + tier, x)) for i, _, o, x in callers for n in texts)
 
 
+@pytest.mark.parametrize("hits", [prefix_hits, cover_hits])
+def test_callers_are_exploded_apart_from_the_join(spark, hits):
+    """Compiled into one step, a text's rows times its callers would be held at once."""
+    index = spark.createDataFrame([("old canon", "camera", "a", "")], "n string, kind string, id string, shown string")
+    forms = spark.createDataFrame([(1, "canon", 0, None), (2, "old", 0, None)], "query_id long, q string, offset int, label string")
+    lines = hits(forms, index, Limits())._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = lines[next(i for i, x in enumerate(lines) if "Generate explode(callers" in x) + 1 :]
+    assert next(i for i, x in enumerate(below) if "Coalesce" in x) < next(i for i, x in enumerate(below) if "Join" in x)
+
+
+@pytest.mark.parametrize("typed", [False, True])
+def test_queries_alike_are_normalised_once(spark, tmp_path, monkeypatch, typed):
+    """In 64 copies the queries repeat; the form of each, or of its beginnings, is worked out once, not for everyone who asks."""
+    at, made = copies(tmp_path / "64", 64), spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(searches, "type_normalize", F.udf(lambda x: made.add(1) or x.lower()))
+    queries = [(r["query_id"], r["query"]) for r in testdata.match_queries(spark, at).collect()]
+    begun = lambda x: {" ".join(x.lower().split(" ")[:k]) for k in range(2, len(x.split(" ")) + 1)} if typed else {x.lower()}
+    got = searches.literal(spark, at, typed).collect()
+    assert sorted((r["query_id"], r["q"]) for r in got) == sorted((i, x) for i, t in queries for x in begun(t))
+    distinct = {t for _, t in queries}
+    assert len(distinct) < len(queries) / 4 and made.value <= sum(len(begun(t)) for t in distinct)
+
+
 def test_aliases_of_repeated_parts_equal_sql(spark, tmp_path):
     """A part that stands twice has each alias twice, not four times: aliases are made row by row, without a join of the parts with themselves."""
     at = copies(tmp_path / "twice", 1)
